@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, exact_dedup, langid, mixing, simhash, topk
+from loomwork.llm import bpe, exact_dedup, langid, line_dedup, mixing, simhash, substring_dedup, topk
 from loomwork.llm.shared import table
 
-#: Documents: rows of one query tile, neighbours asked for.
+#: Neighbours that the search query asks for.
 K = 10
 
 
@@ -23,6 +23,16 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where(F.col("vec_id") % 100 == 0), K)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = default_tokenizer()
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), tokenizer), tokenizer)
@@ -48,7 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op4_bpe, op5_mixing, op6_simhash, op8_language_id, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_line_dedup, op3_substring_dedup, op4_bpe, op5_mixing, op6_simhash, op8_language_id, op10_exact_dedup)}
 
 ORACLES = {
     "op1_topk_search": """
@@ -67,6 +77,29 @@ WITH usable AS (
   FROM pairs
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+""",
+    "op3_substring_dedup": """
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), starts AS (
+  SELECT r, unnest(range(1, len(words) - 33)) AS p, words FROM w WHERE len(words) >= 35
+), windows AS (
+  SELECT r, p, md5(array_to_string(words[p:p + 34], ' ')) AS h FROM starts
+), repeated AS (
+  SELECT r, p FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)
+), covered AS (
+  SELECT DISTINCT r, unnest(range(p, p + 35)) AS i FROM repeated
+), gone AS (
+  SELECT r, list(i) AS places FROM covered GROUP BY r
+), kept AS (
+  SELECT w.doc_id, len(w.words) AS n_words, coalesce(len(g.places), 0) AS n_removed,
+    CASE WHEN g.places IS NULL THEN w.words
+      ELSE list_transform(list_filter(list_zip(w.words, range(1, len(w.words) + 1)), lambda x: NOT list_contains(g.places, x[2])), lambda x: x[1]) END AS left_words
+  FROM w LEFT JOIN gone g ON g.r = w.r
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+  sha256(array_to_string(left_words, ' ')) AS kept_sha256
+FROM kept
 """,
     "op10_exact_dedup": """
 WITH n AS (
