@@ -10,6 +10,7 @@ from loomwork.llm.shared import stored, table
 #: (name, function): each function takes (spark, docs, sf_dir) and returns a DataFrame.
 STAGES = [
     ("language_id", stages.language_id),
+    ("line_dedup", stages.line_dedup),
     ("simhash_dedup", stages.simhash_dedup),
     ("mix_sources", stages.mix_sources),
     ("bpe_encode", stages.bpe_encode),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, exact_dedup, langid, line_dedup, mixing, simhash, substring_dedup, topk
-from loomwork.llm.shared import table
+from loomwork.llm import bpe, exact_dedup, kneser_ney, langid, line_dedup, mixing, simhash, substring_dedup, token_counts, topk
+from loomwork.llm.shared import shared_folder, table
 
 #: Neighbours that the search query asks for.
 K = 10
@@ -47,6 +49,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and byte-level BPE tokens of all documents; loading the words again changes nothing."""
+    docs = table(spark, sf_dir, "documents")
+    words, pieces = token_counts.count_tokens(docs, "words", None), token_counts.count_tokens(docs, "byte_bpe_50k", default_tokenizer())
+    store = token_counts.Rollups(spark, f"{shared_folder(spark).rstrip('/')}/loomwork-{spark.sparkContext.applicationId}/rollups-{uuid.uuid4().hex}")
+    store.commit("load", token_counts.inserts(words))
+    store.commit("retokenise", token_counts.inserts(pieces))
+    # Documents without a word are withdrawn under the first version.
+    store.commit("withdraw-empty", token_counts.deletes(words.where("n_tokens = 0")))
+    store.commit("load", token_counts.inserts(words))
+    return store.totals()
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = docs.where(F.col("doc_id").isNotNull() & ~langid.held_out("doc_id"))
@@ -54,11 +69,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), trusted)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_line_dedup, op3_substring_dedup, op4_bpe, op5_mixing, op6_simhash, op8_language_id, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_line_dedup, op3_substring_dedup, op4_bpe, op5_mixing, op6_simhash, op7_token_counts, op8_language_id, op9_quality, op10_exact_dedup)}
 
 ORACLES = {
     "op1_topk_search": """

@@ -19,8 +19,8 @@ shorter lines go only as exact copies. Blank lines always stay.
 4. A line with a verified earlier partner goes; so do all copies but the first
    of any line. Documents get their dropped places as one array.
 
-Texts are shuffled once, by document; the three steps that need them read the
-same exchange.
+Texts are shuffled by document only: for the segments, for the lines that are in
+a pair, and for the result. Each step's shuffle files are released after it.
 
 Defined cases: a null text counts as empty. Rows alike in id and text count as
 one row, each getting the same decision; null ids come last. A row of which
@@ -145,20 +145,25 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
 _PLACE = ("no_id", "k1", "k2", "pos")
 
 
-def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+def _rows(docs: DataFrame, id_column: str, text_column: str, also: tuple[str, ...]) -> DataFrame:
+    rest = F.struct(*[F.col(c) for c in also]) if also else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), rest.alias("rest"))
     no_id = F.col("doc_id").isNull()
-    return rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("k1"), F.hash(no_id, "text").alias("k2"), no_id.alias("no_id"))
+    return rows.select("doc_id", "text", "rest", F.coalesce("doc_id", F.lit(0)).alias("k1"), F.hash(no_id, "text").alias("k2"), no_id.alias("no_id"))
 
 
 def _lines(text: str = "text") -> Column:
     return F.split(F.col(text), "\n", -1)
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, near: int = NEAR, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, n_lines, n_removed, n_near, kept`` for every row: lines, lines that went, those of them without an equal line before, and the text left."""
-    rows = _rows(docs, id_column, text_column)
-    texts = rows.select("k1", "k2", "doc_id", "text")
+def line_dedup(docs: DataFrame, edits: int = EDITS, near: int = NEAR, id_column: str = "doc_id", text_column: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_lines, n_removed, n_near, kept`` and the columns ``also`` for every row.
+
+    ``n_lines`` counts all lines, ``n_removed`` those that went, ``n_near`` those
+    of them that no equal line came before; ``kept`` is the text left.
+    """
+    rows = _rows(docs, id_column, text_column, also)
+    texts = rows.select("k1", "k2", "text")
 
     # 1. The first place of every line.
     each = rows.select("no_id", "k1", "k2", F.posexplode(_lines()).alias("pos", "line")).where(F.length(F.trim("line")) > 0)
@@ -194,7 +199,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, near: int = NEAR, id_column:
 
     # 4. Drop.
     drops = copies.unionByName(close).groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "near")).alias("drops"))
-    held = texts.join(drops, ["k1", "k2"], "left").select("doc_id", _lines().alias("all"), F.coalesce("drops", F.array().cast("array<struct<pos:int,near:int>>")).alias("drops"))
+    held = rows.join(drops, ["k1", "k2"], "left").select("doc_id", "rest", _lines().alias("all"), F.coalesce("drops", F.array().cast("array<struct<pos:int,near:int>>")).alias("drops"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.transform("drops", lambda d: d["pos"]))
     return held.select(
         "doc_id",
@@ -202,4 +207,5 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, near: int = NEAR, id_column:
         F.size("drops").cast("long").alias("n_removed"),
         F.size(F.filter("drops", lambda d: d["near"] == 1)).cast("long").alias("n_near"),
         F.array_join(F.transform(stay, lambda i: F.get("all", i)), "\n").alias("kept"),
+        *[F.col(f"rest.{c}").alias(c) for c in also],
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, catalogue, langid, mixing, simhash
+from loomwork.llm import bpe, catalogue, langid, line_dedup as lines, mixing, simhash
 from loomwork.llm.shared import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,6 +23,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("lang_pred") != langid.UNDETERMINED).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that came before; one that loses its last line with content goes."""
+    left = lines.line_dedup(docs.select(*COLUMNS), also=("lang", "source"))
+    kept = left.where((F.col("n_removed") == 0) | (F.length(F.trim(F.regexp_replace("kept", r"\s+", " "))) > 0))
+    return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+
+
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: the one of the smallest id, or of the smaller content among equal ids."""
     # Rows are told apart by a number they are written with, as ids may be null or repeat.
