@@ -169,7 +169,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, near: int = NEAR, id_column:
     each = rows.select("no_id", "k1", "k2", F.posexplode(_lines()).alias("pos", "line")).where(F.length(F.trim("line")) > 0)
     each = each.select(*_PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.length("line").alias("n"))
     firsts = each.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("at"), F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
-    firsts = stored(firsts, "lines-first")
+    firsts = stored(firsts, "lines-first", release=True)
     more = firsts.where("c > 1").select("h1", "h2", "at")
     copies = each.join(more, ["h1", "h2"]).where(F.struct(*_PLACE) != F.col("at")).select("k1", "k2", "pos", F.lit(0).alias("near"))
 
@@ -185,7 +185,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, near: int = NEAR, id_column:
     index = longer.select(F.explode(_index_keys(F.col("line"), F.col("n"), edits)).alias("key"), F.col("h1").alias("b"))
     probe = longer.select(F.explode(_probe_keys(F.col("line"), F.col("n"), edits)).alias("key"), F.col("h1").alias("a"))
     met = probe.join(index.hint("shuffle_hash"), "key").where("a <> b")
-    pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lines-pairs")
+    pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lines-pairs", release=True)
 
     # 3. Verify on the texts of the lines that are in a pair.
     ids = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
@@ -195,7 +195,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, near: int = NEAR, id_column:
     left, right = (side.select(F.col("h1").alias(c), F.col("at").alias(f"{c}_at"), F.col("line").alias(f"{c}_line")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a_at", "b_at", F.col("a_line").alias("a"), F.col("b_line").alias("b"))
     later = both.where(within(F.col("a"), F.col("b"), edits)).select(F.greatest("a_at", "b_at").alias("at")).distinct()
-    close = stored(later.select("at.k1", "at.k2", "at.pos", F.lit(1).alias("near")), "lines-near")
+    close = stored(later.select("at.k1", "at.k2", "at.pos", F.lit(1).alias("near")), "lines-near", release=True)
 
     # 4. Drop.
     drops = copies.unionByName(close).groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "near")).alias("drops"))

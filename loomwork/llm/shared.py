@@ -32,16 +32,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts lineage without keeping blocks on executors: a lost executor
     costs nothing that was written. The table lives until ``clear_stored``.
+    Spark drops a finished job's shuffle files when the driver's collector
+    finds that nothing refers to them; ``release`` has it look at once, which
+    is worth its time after a shuffle of texts.
     """
     spark = df.sparkSession
     root = f"{shared_folder(spark).rstrip('/')}/loomwork-{spark.sparkContext.applicationId}"
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
