@@ -1,3 +1,383 @@
-"""The query catalogue: a function from (spark, folder of tables) to a DataFrame for every name."""
+"""The query catalogue: a function from (spark, folder of tables) to a DataFrame for every name.
 
-QUERIES: dict = {}
+Foreground corpus: documents in English; background: those in other languages.
+Graphs are made of ``lineitem``: supplier to part in one id space (most parts
+are sinks), or both ways with prefixed ids. Every query reads whole tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomwork.functions.strings import json_value, tokens
+from loomwork.operators import autodiff, graph, lexicon, linalg, mapreduce, ngram, sketch
+from loomwork.operators import text as words
+from loomwork.sources.files import head_tail as ends_of
+from loomwork.sources.text import document_lines, line_set, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+#: Nine words whose counts are compared between implementations.
+PROBE_WORDS = "the and of to in that for he was".split()
+#: Frequent words of the documents, as constants of the pattern queries.
+COMMON = {"b": "the", "c": "of", "d": "the"}
+SHARDS = 4
+
+
+def query(fn: Query) -> Query:
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as lines: a line feed is no word character, so words need no splitting."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("line"))
+
+
+def _corpora(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    return document_lines(docs.where(F.col("lang") == "en")), document_lines(docs.where(F.col("lang") != "en"))
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+# Words
+
+
+@query
+def wc_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words.word_count(_whole(spark, sf_dir))
+
+
+@query
+def wc_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words.most_common(words.word_count(_whole(spark, sf_dir)), 10, "token")
+
+
+@query
+def wc_probe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = words.token_rows(_whole(spark, sf_dir)).where(F.col("token").isin(PROBE_WORDS))
+    return found.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def tokens_map_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words.token_rows(_whole(spark, sf_dir), "doc_id")
+
+
+@query
+def bigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words.bigram_count(document_lines(table(spark, sf_dir, "documents")))
+
+
+# Two corpora
+
+
+@query
+def vocab_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fg, bg = (lexicon.totals(words.word_count(x)) for x in _corpora(spark, sf_dir))
+    return fg.withColumn("corpus", F.lit("fg")).unionByName(bg.withColumn("corpus", F.lit("bg")))
+
+
+def _word_odds(spark: SparkSession, sf_dir: str, vocabulary: str = "background") -> DataFrame:
+    fg, bg = (words.word_count(x) for x in _corpora(spark, sf_dir))
+    return lexicon.log_odds(fg, bg, ["token"], vocabulary)
+
+
+def _pair_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fg, bg = (words.bigram_count(x) for x in _corpora(spark, sf_dir))
+    return lexicon.log_odds(fg, bg, ["x", "y"])
+
+
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fg, _ = _corpora(spark, sf_dir)
+    return lexicon.phraseness(_pair_odds(spark, sf_dir), words.word_count(fg), words.bigram_count(fg))
+
+
+@query
+def logodds_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_word_odds(spark, sf_dir), "score")
+
+
+@query
+def logodds_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_pair_odds(spark, sf_dir), "score")
+
+
+@query
+def logodds_words_fgvocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_word_odds(spark, sf_dir, "foreground"), "score")
+
+
+@query
+def logodds_top_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Ranked on the rounded score, so that both engines see the same ties.
+    return lexicon.top_bottom(_rounded(_word_odds(spark, sf_dir), "score"), 10, ["token"])
+
+
+@query
+def phraseness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_phrases(spark, sf_dir).select("x", "y", "phrase_count", "x_count", "y_count", "phraseness"), "phraseness")
+
+
+@query
+def good_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(lexicon.good_phrases(_phrases(spark, sf_dir)).select("x", "y", "score", "phraseness"), "score", "phraseness")
+
+
+# Patterns over n-grams
+
+
+def _five(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words.ngram_count(document_lines(table(spark, sf_dir, "documents")), 5, "abcde")
+
+
+def _answer(spark: SparkSession, sf_dir: str, pattern: dict[str, str], top: int) -> DataFrame:
+    return _rounded(ngram.distribution(ngram.count_bindings(_five(spark, sf_dir), pattern), top), "probability")
+
+
+@query
+def ngram5_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _five(spark, sf_dir)
+
+
+@query
+def ngram_marginal_c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer(spark, sf_dir, {"c": "_"}, 10)
+
+
+@query
+def ngram_const_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer(spark, sf_dir, {"b": COMMON["b"], "c": "_"}, 10)
+
+
+@query
+def ngram_b_given_c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer(spark, sf_dir, {"b": "_", "c": COMMON["c"]}, 10)
+
+
+@query
+def ngram_five_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer(spark, sf_dir, {"a": "_", "b": COMMON["b"], "c": "_", "d": "_", "e": "_"}, 20)
+
+
+@query
+def ngram_match_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ngram.match_share(_five(spark, sf_dir), {"b": COMMON["b"], "c": "_"}), "percent")
+
+
+# Graphs
+
+
+def _sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+
+
+def _both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("s"), F.concat(F.lit("p"), "l_partkey").alias("p"))
+    return pairs.select(F.inline(F.array(F.struct(F.col("s").alias("src"), F.col("p").alias("dst")), F.struct(F.col("p").alias("src"), F.col("s").alias("dst")))))
+
+
+@query
+def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(_sinks(spark, sf_dir))
+
+
+@query
+def graph_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.adjacency(_sinks(spark, sf_dir)).select("node", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
+
+
+@query
+def pagerank_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(graph.pagerank(_sinks(spark, sf_dir), 10, "sources"), "score")
+
+
+@query
+def pagerank_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(graph.pagerank(_sinks(spark, sf_dir), 5, "growing"), "score")
+
+
+@query
+def pagerank_inlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(graph.pagerank(_both_ways(spark, sf_dir), 10, "inlinks"), "score")
+
+
+@query
+def pagerank_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(graph.progress(_both_ways(spark, sf_dir), 10, "sources"), "high", "low", "mean")
+
+
+@query
+def pagerank_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(graph.ends(graph.pagerank(_sinks(spark, sf_dir), 10, "sources")), "score")
+
+
+# Matrices and vectors
+
+
+def _orders_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem")
+    return items.select(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("w"))
+
+
+@query
+def matmul_abt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _orders_matrix(spark, sf_dir)
+    return _rounded(linalg.matmul_abt(a, a), "w")
+
+
+@query
+def gram_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = linalg.from_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return _rounded(linalg.matmul_abt(a, a), "w")
+
+
+@query
+def matmul_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix of whole numbers times its transpose is its own transpose."""
+    c = linalg.matmul_abt(_orders_matrix(spark, sf_dir), _orders_matrix(spark, sf_dir))
+    return linalg.same_rows(c, c.select(F.col("col").alias("row"), F.col("row").alias("col"), "w"))
+
+
+@query
+def vector_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("u"))
+    sums = rows.join(after, "vec_id").select("vec_id", F.posexplode(linalg.vector_add(F.col("v"), F.col("u"))).alias("place", "c"))
+    return _rounded(sums, "c")
+
+
+# Sketches
+
+
+BLOOM = sketch.Bloom(2000, 0.01, 0)
+
+
+def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of even number with an order before 1996."""
+    early = table(spark, sf_dir, "orders").where((F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp")) & (F.col("o_custkey") % 2 == 0))
+    return line_set(early.select(F.col("o_custkey").cast("string").alias("line")).distinct())
+
+
+def _probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_set(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("line")))
+
+
+@query
+def bloom_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(1).select(F.lit(BLOOM.bits).cast("long").alias("bits"), F.lit(BLOOM.hashes).alias("hashes"), F.lit(BLOOM.words).cast("long").alias("words"))
+
+
+@query
+def bloom_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return BLOOM.words_of(BLOOM.build(_train(spark, sf_dir)))
+
+
+@query
+def bloom_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(BLOOM.density(BLOOM.build(_train(spark, sf_dir))), "density")
+
+
+@query
+def bloom_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return BLOOM.contains(_probe(spark, sf_dir), BLOOM.build(_train(spark, sf_dir)))
+
+
+@query
+def bloom_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(BLOOM.report(_train(spark, sf_dir), _probe(spark, sf_dir)), "kb", "density")
+
+
+# Programs
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem")
+    return items.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x1"), F.col("l_discount").alias("x2"), F.col("l_extendedprice").alias("x"))
+
+
+@query
+def autodiff_p1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _inputs(spark, sf_dir).select("l_orderkey", "l_linenumber", "x1", "x2")
+    program = autodiff.DOUBLE_PLUS_SQUARED
+    return _rounded(autodiff.backward(autodiff.forward(rows, program), program).select("l_orderkey", "l_linenumber", "f", "d_x1", "d_x2"), "f", "d_x1", "d_x2")
+
+
+@query
+def autodiff_lnsq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _inputs(spark, sf_dir).select("l_orderkey", "l_linenumber", "x")
+    program = autodiff.LOG_OF_SQUARE
+    return _rounded(autodiff.backward(autodiff.forward(rows, program), program).select("l_orderkey", "l_linenumber", "f", "d_x"), "f", "d_x")
+
+
+@query
+def autodiff_grad_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _inputs(spark, sf_dir).select("x1", "x2")
+    program = autodiff.DOUBLE_PLUS_SQUARED
+    sums = autodiff.backward(autodiff.forward(rows, program), program).agg(F.sum("f").alias("f"), F.sum("d_x1").alias("d_x1"), F.sum("d_x2").alias("d_x2"))
+    return sums.withColumns({c: F.round(c, 2) for c in ("f", "d_x1", "d_x2")})
+
+
+# Map and reduce with user functions
+
+
+def _pairs_of(text: str):
+    import re
+
+    return ((w, 1) for w in re.findall(r"\w+", text.lower()))
+
+
+@query
+def mr_wordcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    job = mapreduce.Job(_pairs_of, lambda key, values: [(key, sum(values))], combine=lambda a, b: a + b)
+    return job.map_reduce(_whole(spark, sf_dir).select("line"), "string", "long").select(F.col("key").alias("token"), F.col("value").alias("n"))
+
+
+@query
+def mr_sorted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names and sizes, grouped by brand, with their place in the run of each key."""
+    parts = table(spark, sf_dir, "part").select("p_brand", "p_size")
+    runs = mapreduce.Job(lambda row: [(row[0], row[1])]).sorted_runs(parts.select("p_brand", F.col("p_size").cast("string")))
+    return runs.select("key", "value", F.row_number().over(Window.partitionBy("key").orderBy("value")).alias("place"))
+
+
+@query
+def mr_map_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "nation").select("n_name")
+    return mapreduce.Job(lambda name: [name.lower(), len(name)]).map_only(names)
+
+
+@query
+def shard_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapreduce.assign_shards(table(spark, sf_dir, "customer").select("c_name"), "c_name", SHARDS)
+
+
+@query
+def shard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapreduce.shard_stats(shard_assign(spark, sf_dir))
+
+
+@query
+def kv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs written as lines, and read from them again."""
+    rows = table(spark, sf_dir, "supplier").select("s_name", "s_suppkey")
+    line = rows.select(mapreduce.line_column(F.col("s_name"), F.col("s_suppkey")).alias("line"))
+    fields = F.split("line", "\t", 2)
+    return line.select("line", F.from_json(F.concat(F.lit('{"x":'), fields[0], F.lit("}")), "x string")["x"].alias("key"), fields[1].cast("long").alias("value"))
+
+
+@query
+def head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ends_of(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_custkey"])
+
+
+@query
+def json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(json_value(F.col("n_name")).alias("key"), F.size(tokens(F.col("n_name"))).alias("words"))

@@ -1 +1 @@
-
+"""Queries over data that arrives."""
