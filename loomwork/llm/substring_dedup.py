@@ -261,6 +261,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_
     # Seeds: runs whose anchor another run has as well.
     runs = stored(rows.select("k1", "k2", "text").mapInArrow(_run_rows(window, seed), _RUN), "substring-runs")
     shared = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    shared = stored(shared, "substring-shared")  # read from a table, both sides of the join can be split where an anchor is frequent
     seeds = stored(runs.join(shared, "anchor", "left_semi"), "substring-seeds")
 
     # Extension: whole runs that repeat, and the windows of one representative of each distinct run.
