@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import lower_ascii
+from loomwork.llm.shared import lower_ascii, stored
 
 #: Tasks over which the copies of one text are dealt before they are combined.
 SALTS = 32
@@ -50,6 +50,7 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     # Contents of one digest: nearly always one. Texts go no further than this step.
     entry = F.struct("keep_id", "group_size", F.xxhash64("t").alias("h"), F.length("t").alias("n"))
     by_digest = groups(docs, id_column, text_column, salts).groupBy("digest").agg(F.collect_list(entry).alias("contents"))
+    by_digest = stored(by_digest, "exact-groups")  # read from a table, the join can be split where a digest is frequent
     rows = _normalised(docs, id_column, text_column).withColumn("h", F.xxhash64("t")).withColumn("n", F.length("t"))
     # Repeated rows travel as one with their number, and are dealt out again below.
     rows = rows.groupBy("doc_id", "digest", "h", "n").agg(F.count(F.lit(1)).alias("copies"))
