@@ -38,7 +38,8 @@ def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     This cuts lineage without keeping blocks on executors: a lost executor
     costs nothing that was written. The table lives until ``clear_stored``.
     Spark drops a finished job's shuffle files when the driver's collector
-    finds that nothing refers to them; ``release`` has it look at once, which
+    finds that nothing refers to them, which the scheduler does until the next
+    job. ``release`` runs an empty one and has the collector look at once; this
     is worth its time after a shuffle of texts.
     """
     spark = df.sparkSession
@@ -46,6 +47,7 @@ def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     if release:
+        spark.range(1).write.format("noop").mode("overwrite").save()
         spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
