@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from loomwork.llm.shared import in_steps, text_buffers
 
 #: Places of the hashed trigrams, labelled documents a language at most, rows of a step.
-DIM, PER_LANGUAGE, ROWS = 4096, 500, 256
+DIM, PER_LANGUAGE, ROWS = 4096, 300, 256
 #: Weight of errors against the size of the weights.
 PENALTY = 10.0
 UNDETERMINED = "und"
@@ -88,9 +88,10 @@ def train_svm(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int
     Newton's method on the primal; each step solves for the rows inside the
     margin by conjugate gradients.
     """
-    x = np.hstack([x, np.ones((len(x), 1))])
-    c = np.where(y > 0, penalty * len(y) / (2 * max(1, (y > 0).sum())), penalty * len(y) / (2 * max(1, (y < 0).sum())))
-    w = np.zeros(x.shape[1])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    y = y.astype(x.dtype)
+    c = np.where(y > 0, penalty * len(y) / (2 * max(1, (y > 0).sum())), penalty * len(y) / (2 * max(1, (y < 0).sum()))).astype(x.dtype)
+    w = np.zeros(x.shape[1], x.dtype)
     loss = lambda v: 0.5 * v @ v + (c * np.maximum(0, 1 - y * (x @ v)) ** 2).sum()
     now = loss(w)
     for _ in range(steps):
@@ -190,14 +191,19 @@ def _featured(batches):
 def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """A model from labelled rows; of a language with more than ``per_language`` rows, about as many are used."""
     rows = labelled.where(F.col(lang_column).isNotNull()).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
-    n = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # As many numbers as there are languages to learn, which the model has pairs of.
+    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not n:
+        return Model()
+    share = F.create_map(*[F.lit(x) for lang, many in sorted(n.items()) for x in (lang, per_language / many)])
     place = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    few = rows.join(n.withColumnRenamed("lang", "l"), F.col("lang") == F.col("l")).where(place < F.lit(float(per_language)) / F.col("n")).select("lang", F.coalesce("text", F.lit("")).alias("text"))
-    sample = few.mapInArrow(_featured, "lang string, x binary").collect()  # per_language x languages x 16 kB
-    if not sample:
+    few = rows.where(place < share[F.col("lang")]).select("lang", F.coalesce("text", F.lit("")).alias("text"))
+    sample = few.mapInArrow(_featured, "lang string, x binary").toArrow()  # per_language x languages x 16 kB
+    if not sample.num_rows:
         return Model()
-    sample.sort(key=lambda r: (r["lang"], r["x"]))
-    return fit(np.stack([np.frombuffer(r["x"], np.float32) for r in sample]).astype(np.float64), [r["lang"] for r in sample])
+    languages, rows = sample.column("lang").to_pylist(), sample.column("x").to_pylist()
+    order = sorted(range(len(rows)), key=lambda i: (languages[i], rows[i]))
+    return fit(np.stack([np.frombuffer(rows[i], np.float32) for i in order]), [languages[i] for i in order])
 
 
 def held_out(id_column: str | Column) -> Column:
