@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,30 +159,37 @@ def estimate(top: DataFrame, order: int = ORDER) -> DataFrame:
     return every.groupBy("lang", "gram").agg(F.max("logp").alias("logp"), F.max("logb").alias("logb"))
 
 
-def _tables(rows, order: int) -> dict:
-    """By language: sorted keys with logarithms, of probabilities and of back-off weights."""
-    by_lang: dict = {}
-    for lang, part in rows.groupby("lang", dropna=False):
-        tables = []
+def _keyed(batches):
+    """Rows (lang, gram, kind, value, key) with the n-gram's 64-bit key and the code of the context's last character."""
+    for batch in batches:
+        grams = batch.column("gram").to_pylist()
+        keys = np.zeros(len(grams), np.uint64)
+        sizes = np.array([len(g) for g in grams])
+        for n in set(sizes.tolist()) - {0}:
+            at = np.flatnonzero(sizes == n)
+            codes = np.frombuffer("".join(grams[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+            key = np.full(len(at), n, np.uint64)
+            for i in range(n):
+                key = key * _BASE + codes[:, i].astype(np.uint64) + np.uint64(1)
+            keys[at] = key
+        last = [None if k is None else ord(k) for k in batch.column("key").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("kind"), pa.array(keys.view(np.int64)), batch.column("value"), pa.array(last, pa.int64())], ["lang", "kind", "gram", "value", "last"])
+
+
+def _by_language(shard: pa.Table):
+    """By language: sorted keys with logarithms, of probabilities and of back-off weights; and the characters that contexts end in."""
+    tables, characters = {}, {}
+    for lang in shard.column("lang").unique().to_pylist():
+        own = shard.filter(pc.is_null(shard["lang"]) if lang is None else pc.fill_null(pc.equal(shard["lang"], lang), False))
+        both = []
         for kind in ("p", "b"):
-            own = part[part["kind"] == kind]
-            keys, values = [], []
-            for n, same in own.groupby(own["gram"].str.len()):
-                if n:
-                    codes = np.frombuffer("".join(same["gram"]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
-                    key = np.full(len(codes), n, np.uint64)
-                    for i in range(n):
-                        key = key * _BASE + codes[:, i].astype(np.uint64) + np.uint64(1)
-                    keys.append(key)
-                else:
-                    keys.append(np.zeros(len(same), np.uint64))
-                values.append(same["value"].to_numpy(np.float64))
-            key = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-            value = np.concatenate(values) if values else np.empty(0)
-            at = np.argsort(key)
-            tables.append((key[at], value[at]))
-        by_lang[None if lang is None or lang != lang else lang] = tables
-    return by_lang
+            part = own.filter(pc.equal(own["kind"], kind))
+            keys = part["gram"].to_numpy().view(np.uint64)
+            at = np.argsort(keys)
+            both.append((keys[at], part["value"].to_numpy()[at]))
+        tables[lang] = both
+        characters[lang] = np.unique(own["last"].drop_null().to_numpy()).astype(np.uint32)
+    return tables, characters
 
 
 def _found(table, keys: np.ndarray) -> np.ndarray:
@@ -256,15 +264,14 @@ def scored(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: in
     names = docs.columns
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", logs double, events long"
     out = docs.withColumn("logs", F.lit(0.0)).withColumn("events", F.lit(0).cast("long"))
-    characters = table.where("key IS NOT NULL").select("lang", "key").distinct().toPandas() if shards > 1 else None
-
-    def by_language(frame):
-        return {None if lang is None or lang != lang else lang: np.array(sorted({ord(k) for k in part["key"].dropna()}), np.uint32) for lang, part in frame.groupby("lang", dropna=False)}
-
+    keyed = lambda rows: rows.select("lang", "gram", "kind", "value", "key").mapInArrow(_keyed, "lang string, kind string, gram long, value double, last long").toArrow()
+    elsewhere = None
+    if shards > 1:  # all characters that contexts end in: as many as the alphabets have
+        every = table.where("key IS NOT NULL").select("lang", "key").distinct()
+        elsewhere = _by_language(keyed(every.select("lang", F.lit("").alias("gram"), F.lit("").alias("kind"), F.lit(0.0).alias("value"), "key")))[1]
     for shard in range(shards):
-        rows = table.where(F.col("key").isNull() | (F.col("shard") == shard)).select("lang", "gram", "kind", "value", "key").toPandas()
-        elsewhere = None if shards == 1 else by_language(characters) if shard == 0 else {}
-        shared = spark.sparkContext.broadcast((_tables(rows, order), by_language(rows), elsewhere))
+        tables, characters = _by_language(keyed(table.where(F.col("key").isNull() | (F.col("shard") == shard))))
+        shared = spark.sparkContext.broadcast((tables, characters, elsewhere if shard == 0 else None if elsewhere is None else {}))
         out = out.mapInArrow(_score_rows(shared, order, names), kind)
     return out
 
