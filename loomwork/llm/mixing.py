@@ -15,8 +15,9 @@ shrinks, solve all sources at once: each step is one aggregation over
 
 Rates become whole copies by unbiased rounding against a hash of the document's
 id. What a source is then off its target is taken back by shifting its rounding
-threshold (64 shifts are tried in one pass, five passes), and at last by
-adding, a few times, the largest document that still fits.
+threshold (32 shifts are tried in one pass), first for all its documents, then,
+a few times, for those no larger than what is still missing, and at last by
+adding the largest document that fits.
 
 Words are counted in whole texts. All sums that decide are over integers or
 fixed-point numbers, so a rerun agrees to the last copy.
@@ -46,7 +47,7 @@ STEPS = 60
 TOLERANCE = 1e-7
 #: Units in which fractions are summed, so that the order of a sum can't matter.
 _UNIT = 1 << 16
-_SHIFTS = 64
+_SHIFTS = 32
 
 
 def word_counts(docs: DataFrame, text_column: str, *kept: str) -> DataFrame:
@@ -135,7 +136,41 @@ def multipliers(sizes: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame
     return state.select("source", "target", "source_size", "mean", "full", F.col("x").alias("multiplier"))
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", weights=WEIGHTS, cap: int = CAP, fits: int = 6) -> DataFrame:
+def _gaps(taken: DataFrame) -> DataFrame:
+    """``s, gap, target``: the words that each source takes too few."""
+    gap = F.max("target") - F.sum(F.col("size") * F.col("copies"))
+    return taken.groupBy("source").agg(gap.alias("gap"), F.max("target").alias("target")).withColumnRenamed("source", "s")
+
+
+def _raise(taken: DataFrame, cap: int, passes: int, first: bool) -> DataFrame:
+    """Raise the levels of the documents that fit a source's gap by the largest shift that keeps within its target.
+
+    At ``first`` nothing is taken yet and the shift may be negative. A level's
+    whole part is the number of copies. Each pass tries ``_SHIFTS`` shifts.
+    """
+    gaps = stored(_gaps(taken).where("gap >= 1"), "mix-gaps")
+    if gaps.isEmpty():
+        return taken
+    fits = taken.join(gaps.withColumnRenamed("target", "goal"), F.col("source").eqNullSafe(F.col("s"))).where((F.col("size") > 0) & (F.col("copies") < cap))
+    fits = stored((fits if first else fits.where("size <= gap")).select("s", "level", "size", "copies", "gap"), "mix-fits")
+    at = lambda shift: F.greatest(F.lit(0), F.least(F.lit(cap), F.floor(F.col("level") + shift).cast("int")))
+    low, width = (-(cap + 1.0), 2.0 * (cap + 1)) if first else (0.0, cap + 1.0)
+    shift = gaps.select("s", F.lit(low).alias("shift"))
+    for _ in range(passes):
+        step = width / _SHIFTS
+        tried = fits.join(shift.withColumnRenamed("s", "z"), F.col("s").eqNullSafe(F.col("z"))).groupBy("s", "shift")
+        sums = tried.agg(F.max("gap").alias("gap"), *[F.sum(F.col("size") * (at(F.col("shift") + F.lit(k * step)) - F.col("copies"))).alias(f"w{k}") for k in range(1, _SHIFTS)])
+        below = sum((F.when(F.col(f"w{k}") <= F.col("gap"), 1).otherwise(0) for k in range(1, _SHIFTS)), F.lit(0))
+        shift = stored(sums.select("s", (F.col("shift") + below * F.lit(step)).alias("shift")), "mix-shift")
+        width = step
+    joined = taken.join(gaps.select("s", "gap").join(shift.withColumnRenamed("s", "z"), F.col("s").eqNullSafe(F.col("z"))).drop("z"), F.col("source").eqNullSafe(F.col("s")), "left")
+    moved = F.col("shift").isNotNull() & (F.col("size") > 0) & (F.col("copies") < cap) & (F.lit(first) | (F.col("size") <= F.col("gap")))
+    level = F.when(moved, F.col("level") + F.col("shift")).otherwise(F.col("level"))
+    new = joined.withColumn("copies", F.when(moved, at(F.col("shift"))).otherwise(F.col("copies"))).withColumn("level", level)
+    return stored(new.select(*taken.columns), "mix-copies")
+
+
+def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", weights=WEIGHTS, cap: int = CAP, rounds: int = 3, fits: int = 3) -> DataFrame:
     """``doc_id, source, size, source_size, target, rate double, copies int`` for every row of ``docs``."""
     named = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), F.col(text_column).alias("text"))
     sizes = stored(word_counts(named, "text", "doc_id", "source"), "mix-sizes")
@@ -146,25 +181,15 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source
     u = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     rate = F.when(F.col("full"), F.lit(float(cap))).when(F.col("size") == 0, F.lit(1.0)).otherwise(_rate(F.col("multiplier"), F.col("size") / F.col("mean"), cap))
     rated = stored(rated.select("doc_id", "source", "size", "source_size", "target", "full", rate.alias("rate"), u.alias("u")), "mix-rates")
-    copies_at = lambda shift: F.greatest(F.lit(0), F.least(F.lit(cap), F.floor(F.col("rate") + F.col("u") + shift).cast("int")))
-
-    # The largest shift of each source's threshold that takes no more than its target.
-    shift = stored(state.select(F.col("source").alias("s"), F.lit(-float(cap + 1)).alias("shift")), "mix-shift")
-    width = 2.0 * (cap + 1)
-    for _ in range(5):
-        step = width / _SHIFTS
-        at = rated.join(shift, F.col("source").eqNullSafe(F.col("s")))
-        tried = at.groupBy("s", "shift").agg(F.max("target").alias("target"), *[F.sum(F.col("size") * copies_at(F.col("shift") + F.lit(k * step))).alias(f"w{k}") for k in range(_SHIFTS)])
-        below = sum((F.when(F.col(f"w{k}") <= F.col("target"), 1).otherwise(0) for k in range(1, _SHIFTS)), F.lit(0))
-        shift = stored(tried.select("s", (F.col("shift") + below * F.lit(step)).alias("shift")), "mix-shift")
-        width = step
-    taken = rated.join(shift, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", F.when(F.col("full"), F.lit(cap)).otherwise(copies_at(F.col("shift"))))
-    taken = stored(taken.drop("s", "shift", "full", "u"), "mix-copies")
+    # First all documents share one shift of their source's threshold. What is then missing is smaller than
+    # the next document that would have been taken; of the documents that still fit, a further shift takes more.
+    taken = rated.withColumn("level", F.col("rate") + F.col("u")).withColumn("copies", F.when(F.col("full"), F.lit(cap)).otherwise(F.lit(0))).drop("full", "u")
+    for i in range(rounds):
+        taken = _raise(taken, cap, 4 if i == 0 else 3, first=i == 0)
 
     # What is still missing: add the largest document that fits, a few times.
     for _ in range(fits):
-        gap = taken.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap"))
-        gap = gap.select(F.col("source").alias("s"), "gap").where("gap >= 1")
+        gap = _gaps(taken).select("s", "gap").where("gap >= 1")
         fit = taken.where((F.col("copies") < cap) & (F.col("size") > 0)).join(gap, F.col("source").eqNullSafe(F.col("s"))).where("size <= gap")
         pick = fit.groupBy("s").agg(F.max_by(F.struct("doc_id", "size", "copies"), F.struct("size", "doc_id")).alias("pick"))
         picks = stored(pick.select("s", "pick.doc_id", "pick.size", "pick.copies"), "mix-picks")
@@ -177,4 +202,5 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source
         chosen = marked.where("p_size IS NOT NULL").withColumn("number", F.row_number().over(Window.partitionBy("source").orderBy(F.lit(1))))
         chosen = chosen.withColumn("copies", F.col("copies") + F.when(F.col("number") == 1, 1).otherwise(0)).select(*taken.columns)
         taken = stored(marked.where("p_size IS NULL").select(*taken.columns).unionByName(chosen), "mix-copies")
-    return taken.select("doc_id", "source", "size", "source_size", "target", "rate", "copies")
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies"))  # a document without words weighs nothing and stays
+    return taken.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"))
