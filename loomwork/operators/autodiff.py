@@ -26,6 +26,7 @@ PRIMITIVES: dict[str, Primitive] = {
 
 #: A program is a list of (output, primitive, inputs), in order of evaluation.
 Program = list[tuple[str, str, tuple[str, ...]]]
+# The two programs whose results are known.
 DOUBLE_PLUS_SQUARED: Program = [("z1", "add", ("x1", "x1")), ("z2", "add", ("z1", "x2")), ("f", "square", ("z2",))]
 LOG_OF_SQUARE: Program = [("z", "square", ("x",)), ("f", "ln", ("z",))]
 

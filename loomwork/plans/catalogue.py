@@ -22,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 #: Nine words whose counts are compared between implementations.
-PROBE_WORDS = "the and of to in that for he was".split()
+PROBE_WORDS = "the of and to in that is was he".split()
 #: Frequent words of the documents, as constants of the pattern queries.
 COMMON = {"b": "the", "c": "of", "d": "the"}
 SHARDS = 4
