@@ -13,14 +13,21 @@ shorter lines go only as exact copies. Blank lines always stay.
    on one side allow, so every line probes the index with the substrings that
    its length and each indexed length admit (multi-match-aware selection). A
    key holds the segment's number, the indexed length and the substring's hash.
+   The index has one row for each key: how many lines have it and two of them, so
+   a key of one or two lines gives its pairs in the probe itself. Lines of larger
+   keys meet by key; where more than ``FREQUENT`` share one (near copies by the
+   thousand do), each line brings a signature of its characters, and only pairs
+   whose signatures are within reach of each other leave the join. No pair that
+   is within the edits is lost.
 3. Candidate pairs are verified on the texts: common starts and ends are cut
    off, and a banded bit-parallel distance runs over what differs: one long
    holds the 2 * edits + 1 cells of a column around the diagonal.
 4. A line with a verified earlier partner goes; so do all copies but the first
    of any line. Documents get their dropped places as one array.
 
-Texts are shuffled by document only: for the segments, for the lines that are in
-a pair, and for the result. Each step's shuffle files are released after it.
+Texts are shuffled by document only: for the index, for the probes, for the lines
+that are in a pair, and for the result. Each step's shuffle files are released
+after it.
 
 Defined cases: a null text counts as empty. Rows alike in id and text count as
 one row, each getting the same decision; null ids come last. A row of which
@@ -39,8 +46,10 @@ from loomwork.llm.shared import stored
 
 #: Edits allowed, and characters from which a line is long enough for them.
 EDITS, NEAR = 2, 30
+#: Lines that may share an index key before its pairs are sifted by signatures.
+FREQUENT = 16
 #: Powers of two that the search for common starts and ends goes down from.
-_DOUBLINGS = 14
+_DOUBLINGS = 31
 
 
 def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -71,20 +80,39 @@ def _index_keys(line: Column, n: Column, edits: int) -> Column:
 
 
 def _probe_keys(line: Column, n: Column, edits: int) -> Column:
+    """Keys to probe, each with whether it is the line's own index key."""
     keys = []
     for less, i, shift in probes(edits):
         start, size = segment(n - less, i, edits)
-        keys.append(_key(line, i, n - less, start + shift, size))
+        keys.append(F.struct(_key(line, i, n - less, start + shift, size).alias("key"), F.lit(less == shift == 0).alias("own")))
     return F.array(*keys)
 
 
+def signature(line: Column) -> Column:
+    """Parities of a line's characters and of its neighbours, each hashed to 64 places.
+
+    An edit flips at most two places of the first and four of the second.
+    """
+    place = lambda *c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(*c), F.lit(64)).cast("int"))
+    zero = F.lit(0).cast("long")
+    ones = lambda chars: F.aggregate(chars, zero, lambda s, c: s.bitwiseXOR(place(c)))
+    twos = lambda chars: F.aggregate(F.sequence(F.lit(1), F.size(chars)), zero, lambda s, i: s.bitwiseXOR(place(F.get(chars, i - 1), F.get(chars, i))))
+    return _bind(F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0)), lambda chars: F.struct(ones(chars).alias("ones"), twos(chars).alias("twos")))
+
+
+def may_be_near(a: Column, b: Column, edits: int) -> Column:
+    """Whether two signatures differ in no more places than ``edits`` edits can flip."""
+    apart = lambda c: F.bit_count(a[c].bitwiseXOR(b[c]))
+    return (apart("ones") <= 2 * edits) & (apart("twos") <= 4 * edits)
+
+
 def _bind(value: Column, then) -> Column:
     """Name a value for the expression ``then``, which evaluates it once for a row."""
     return F.transform(F.array(value), then)[0]
 
 
 def _common(x: Column, y: Column) -> Column:
-    """How many characters, up to twice the largest power tried, two strings have in common from the start."""
+    """How many characters two strings have in common from the start: a binary search on equal prefixes."""
     powers = F.array(*[F.lit(1 << k) for k in reversed(range(_DOUBLINGS))])
 
     def longer(p: Column, step: Column) -> Column:
@@ -133,13 +161,27 @@ def banded(a: Column, b: Column, edits: int) -> Column:
     return F.when(F.abs(m - n) > edits, F.lit(False)).when((m <= edits) & (n <= edits), F.lit(True)).otherwise(bits)
 
 
+def _inside(x: Column, y: Column, edits: int) -> Column:
+    """False only where two strings that differ in their first and in their last character can't be within ``edits`` edits.
+
+    One edit is at either end, so of what is between them in ``x``, cut into one
+    piece more than there are edits left, some piece is in ``y`` as it stands.
+    """
+    pieces = edits - 1
+    if pieces < 1:
+        return (F.length(x) <= edits) & (F.length(y) <= edits)
+    size = F.greatest(F.lit(0), F.floor((F.length(x) - 2) / pieces).cast("int"))
+    held = [F.contains(y, F.substring(x, F.lit(2) + size * i, size)) for i in range(pieces)]
+    return reduce(lambda p, q: p | q, held)
+
+
 def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     """Whether two strings are within ``edits`` edits: what they share at both ends is cut off first."""
     cut = lambda x, y, p: F.struct(F.substring(x, p + 1, F.length(x)).alias("x"), F.substring(y, p + 1, F.length(y)).alias("y"))
     turned = lambda t: F.struct(F.reverse(t["x"]).alias("x"), F.reverse(t["y"]).alias("y"))
     start = _bind(_common(a, b), lambda p: cut(a, b, p))
     both = _bind(_bind(start, turned), lambda t: _bind(_common(t["x"], t["y"]), lambda q: cut(t["x"], t["y"], q)))
-    return _bind(both, lambda t: banded(t["x"], t["y"], edits))
+    return _bind(both, lambda t: F.when(_inside(t["x"], t["y"], edits), banded(t["x"], t["y"], edits)).otherwise(F.lit(False)))
 
 
 _PLACE = ("no_id", "k1", "k2", "pos")
@@ -182,16 +224,34 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, near: int = NEAR, id_column:
         return one.distinct() if also else one
 
     longer = lines_at(wanted).withColumn("n", F.length("line"))
-    index = longer.select(F.explode(_index_keys(F.col("line"), F.col("n"), edits)).alias("key"), F.col("h1").alias("b"))
-    probe = longer.select(F.explode(_probe_keys(F.col("line"), F.col("n"), edits)).alias("key"), F.col("h1").alias("a"))
-    met = probe.join(index.hint("shuffle_hash"), "key").where("a <> b")
-    pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lines-pairs", release=True)
+    index = longer.select(F.explode(_index_keys(F.col("line"), F.col("n"), edits)).alias("key"), "h1")
+    index = index.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.min("h1").alias("lo"), F.max("h1").alias("hi"))
+    index = stored(index, "lines-index", release=True)
+    probe = longer.select(F.inline(_probe_keys(F.col("line"), F.col("n"), edits)), F.col("h1").alias("a"))
+    met = probe.join(index.hint("shuffle_hash"), "key").where("lines > 1 OR lo <> a")
+    met = stored(met, "lines-met", release=True)
+    few = met.where("lines <= 2").select("a", F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
+    # A line's own key stands for it in the index, so lines of larger keys meet among the probes.
+    many = met.where("lines > 2").select("key", "a", "own", "lines")
+    mine = lambda df: df.where("own").select("key", F.col("a").alias("b"), *[F.col(c).alias(f"b_{c}") for c in df.columns if c == "sign"])
+    usual = many.where(F.col("lines") <= FREQUENT)
+    usual = usual.select("key", "a").join(mine(usual), "key").where("a <> b").select("a", "b")
+    crowd = many.where(F.col("lines") > FREQUENT)
+
+    def located(ids: DataFrame, *also: str) -> DataFrame:
+        """The lines of some hashes, with their places if wanted."""
+        there = firsts.where(F.col("n") >= near).join(ids, "h1", "left_semi")
+        return lines_at(there.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.pos", "h1", "at")).alias("places")), *also)
+
+    signed = located(crowd.select(F.col("a").alias("h1")).distinct()).select(F.col("h1").alias("a"), signature(F.col("line")).alias("sign"))
+    crowd = stored(crowd.join(signed, "a").select("key", "a", "own", "sign"), "lines-crowd", release=True)
+    theirs = mine(crowd).withColumnRenamed("key", "k")
+    sifted = crowd.join(theirs, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) & may_be_near(F.col("sign"), F.col("b_sign"), edits)).select("a", "b")
+    every = few.unionByName(usual).unionByName(sifted)
+    pairs = stored(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lines-pairs", release=True)
 
     # 3. Verify on the texts of the lines that are in a pair.
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    asked = firsts.join(ids, "h1", "left_semi")
-    asked = asked.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.pos", "h1", "at")).alias("places"))
-    side = lines_at(asked, "at")
+    side = located(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "at")
     left, right = (side.select(F.col("h1").alias(c), F.col("at").alias(f"{c}_at"), F.col("line").alias(f"{c}_line")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a_at", "b_at", F.col("a_line").alias("a"), F.col("b_line").alias("b"))
     later = both.where(within(F.col("a"), F.col("b"), edits)).select(F.greatest("a_at", "b_at").alias("at")).distinct()

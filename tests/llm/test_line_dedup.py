@@ -132,6 +132,32 @@ def test_every_pair_within_the_edits_shares_a_probed_segment():
                 assert index & probed, (a, b)
 
 
+def test_frequent_keys_lose_no_pair(spark, docs_of, monkeypatch):
+    """Many lines that differ by a word here and there, or by a letter."""
+    monkeypatch.setattr(ld, "FREQUENT", 3)
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(9)]
+    rows = []
+    for i in range(50):
+        w = list(base)
+        w[i % 9] = "abcdefgh"[i % 8] * 5
+        rows.append((i, edited(rng, " ".join(w), rng.randrange(2)), "", "", 0))
+    rows += [(100 + i, edited(rng, rng.choice(rows)[1], 1), "", "", 0) for i in range(10)]
+    got = sorted(map(tuple, ld.line_dedup(docs_of(rows)).collect()), key=repr)
+    assert got == brute(rows, spark) and sum(r[3] for r in got) > 3
+
+
+def test_signatures_of_near_lines_are_near(spark):
+    rng = random.Random(8)
+    pairs = []
+    for _ in range(300):
+        a = "".join(rng.choice("abcdefghé😀 ") for _ in range(rng.randint(5, 60)))
+        pairs.append((a, edited(rng, a, 2)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    near = ld.may_be_near(ld.signature(F.col("a")), ld.signature(F.col("b")), 2)
+    assert df.where(near).count() == len(pairs)
+
+
 def test_number_of_probes():
     assert [len(ld.probes(e)) for e in (0, 1, 2)] == [1, 4, 12]
 
