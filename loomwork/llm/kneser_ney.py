@@ -282,7 +282,8 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile:
     rows = rows.withColumn("empty", ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)))
     ids = trusted.select(F.col(id_column).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     aside = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)) == 0
-    learned = rows.join(ids.where(~aside), "doc_id", "left_semi").select("lang", "text")
+    # A merge join whatever the number of ids, so that a small table takes the way that a large one has to.
+    learned = rows.join(ids.where(~aside).hint("merge"), "doc_id", "left_semi").select("lang", "text")
     model = estimate(counts(learned, order), order)
     sums = scored(rows, model, order).select("doc_id", "lang", "empty", "logs", "events")
     perplexity = F.when((F.col("events") > 0) & (F.col("logs") < 0), F.exp(-F.col("logs") / F.col("events")))
