@@ -13,9 +13,9 @@ shorter lines go only as exact copies. Blank lines always stay.
    on one side allow, so every line probes the index with the substrings that
    its length and each indexed length admit (multi-match-aware selection). A
    key holds the segment's number, the indexed length and the substring's hash.
-   The index has one row for each key: how many lines have it and two of them, so
-   a key of one or two lines gives its pairs in the probe itself. Lines of larger
-   keys meet by key; where more than ``FREQUENT`` share one (near copies by the
+   Keys are made in one pass over the texts. The index has one row for each key:
+   how many lines have it and two of them, so a key of one or two lines gives its
+   pairs in the probe itself. Lines of larger keys meet by key; where more than ``FREQUENT`` share one (near copies by the
    thousand do), each line brings a signature of its characters, and only pairs
    whose signatures are within reach of each other leave the join. No pair that
    is within the edits is lost.
@@ -25,8 +25,8 @@ shorter lines go only as exact copies. Blank lines always stay.
 4. A line with a verified earlier partner goes; so do all copies but the first
    of any line. Documents get their dropped places as one array.
 
-Texts are shuffled by document only: for the index, for the probes, for the lines
-that are in a pair, and for the result. Each step's shuffle files are released
+Texts are shuffled by document only: for the keys, for the lines of frequent keys,
+for the lines that are in a pair, and for the result. Each step's shuffle files are released
 after it.
 
 Defined cases: a null text counts as empty. Rows alike in id and text count as
@@ -75,12 +75,8 @@ def _key(line: Column, i: int, indexed: Column, start: Column, size: Column) ->
     return F.xxhash64(F.lit(i), indexed, F.substring(line, start, size))
 
 
-def _index_keys(line: Column, n: Column, edits: int) -> Column:
-    return F.array(*[_key(line, i, n, *segment(n, i, edits)) for i in range(edits + 1)])
-
-
-def _probe_keys(line: Column, n: Column, edits: int) -> Column:
-    """Keys to probe, each with whether it is the line's own index key."""
+def _keys(line: Column, n: Column, edits: int) -> Column:
+    """Keys of a line, each with whether it is its own in the index or one to probe."""
     keys = []
     for less, i, shift in probes(edits):
         start, size = segment(n - less, i, edits)
@@ -224,19 +220,23 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, near: int = NEAR, id_column:
         return one.distinct() if also else one
 
     longer = lines_at(wanted).withColumn("n", F.length("line"))
-    index = longer.select(F.explode(_index_keys(F.col("line"), F.col("n"), edits)).alias("key"), "h1")
-    index = index.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.min("h1").alias("lo"), F.max("h1").alias("hi"))
+    keys = longer.select("h1", F.inline(_keys(F.col("line"), F.col("n"), edits)))
+    keys = stored(keys, "lines-keys", release=True)
+    own, probe = keys.where("own").select("key", "h1"), keys.where("NOT own").select("key", F.col("h1").alias("a"))
+    index = own.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.min("h1").alias("lo"), F.max("h1").alias("hi"))
     index = stored(index, "lines-index", release=True)
-    probe = longer.select(F.inline(_probe_keys(F.col("line"), F.col("n"), edits)), F.col("h1").alias("a"))
     met = probe.join(index.hint("shuffle_hash"), "key").where("lines > 1 OR lo <> a")
     met = stored(met, "lines-met", release=True)
     few = met.where("lines <= 2").select("a", F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
-    # A line's own key stands for it in the index, so lines of larger keys meet among the probes.
-    many = met.where("lines > 2").select("key", "a", "own", "lines")
-    mine = lambda df: df.where("own").select("key", F.col("a").alias("b"), *[F.col(c).alias(f"b_{c}") for c in df.columns if c == "sign"])
-    usual = many.where(F.col("lines") <= FREQUENT)
-    usual = usual.select("key", "a").join(mine(usual), "key").where("a <> b").select("a", "b")
-    crowd = many.where(F.col("lines") > FREQUENT)
+    few = few.unionByName(index.where("lines = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")))
+    # Keys of more lines: all that have or probe one meet those that have it.
+    members = stored(own.join(index.where("lines > 2").select("key", "lines"), "key"), "lines-members", release=True)
+    members = members.select("key", F.col("h1").alias("a"), "lines", F.lit(True).alias("own"))
+    many = members.unionByName(met.where("lines > 2").select("key", "a", "lines", F.lit(False).alias("own")))
+    mine = lambda df: df.where("own").select(F.col("key").alias("k"), F.col("a").alias("b"), *[F.col(c).alias("theirs") for c in df.columns if c == "sign"])
+    apart = (F.col("key") == F.col("k")) & (F.col("a") != F.col("b"))
+    usual, crowd = many.where(F.col("lines") <= FREQUENT), many.where(F.col("lines") > FREQUENT)
+    usual = usual.join(mine(usual), apart).select("a", "b")
 
     def located(ids: DataFrame, *also: str) -> DataFrame:
         """The lines of some hashes, with their places if wanted."""
@@ -245,9 +245,8 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, near: int = NEAR, id_column:
 
     signed = located(crowd.select(F.col("a").alias("h1")).distinct()).select(F.col("h1").alias("a"), signature(F.col("line")).alias("sign"))
     crowd = stored(crowd.join(signed, "a").select("key", "a", "own", "sign"), "lines-crowd", release=True)
-    theirs = mine(crowd).withColumnRenamed("key", "k")
-    sifted = crowd.join(theirs, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) & may_be_near(F.col("sign"), F.col("b_sign"), edits)).select("a", "b")
-    every = few.unionByName(usual).unionByName(sifted)
+    sifted = crowd.join(mine(crowd), apart & may_be_near(F.col("sign"), F.col("theirs"), edits)).select("a", "b")
+    every = few.unionByName(usual).unionByName(sifted).where("a <> b")
     pairs = stored(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lines-pairs", release=True)
 
     # 3. Verify on the texts of the lines that are in a pair.
