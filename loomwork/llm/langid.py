@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import in_steps, text_buffers
+from loomwork.llm.shared import bounded_batches, in_steps, text_buffers
 
 #: Places of the hashed trigrams, labelled documents a language at most, rows of a step.
 DIM, PER_LANGUAGE, ROWS = 4096, 300, 256
@@ -190,6 +190,7 @@ def _featured(batches):
 
 def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """A model from labelled rows; of a language with more than ``per_language`` rows, about as many are used."""
+    bounded_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_column).isNotNull()).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
     # As many numbers as there are languages to learn, which the model has pairs of.
     n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -214,6 +215,7 @@ def held_out(id_column: str | Column) -> Column:
 
 def predict(docs: DataFrame, model: Model, text_column: str = "text", *kept: str) -> DataFrame:
     """The columns ``kept``, ``lang_pred`` and ``score`` for every row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(*kept, F.col(text_column).alias("_text"))
 
     def run(batches):

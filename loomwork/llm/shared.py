@@ -32,6 +32,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows and bytes of a batch that goes to a Python worker: both sides hold it, for every task.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, unless it has them smaller."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on after its task, beside the next ones."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -43,6 +66,7 @@ def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     is worth its time after a shuffle of texts.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     root = f"{shared_folder(spark).rstrip('/')}/loomwork-{spark.sparkContext.applicationId}"
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
@@ -61,6 +85,7 @@ def clear_stored(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -94,6 +119,7 @@ def in_steps(batches, column: str, step: int = STEP_BYTES) -> Iterator[pa.Record
             last = min(max(last, first + 1), rows)
             yield batch.slice(first, last - first)
             first = last
+    _give_back()
 
 
 _IS_SEPARATOR = np.zeros(256, bool)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm.bpe import Tokenizer
-from loomwork.llm.shared import in_steps, text_buffers, word_spans
+from loomwork.llm.shared import bounded_batches, in_steps, text_buffers, word_spans
 
 GROUP = ("source", "lang", "tokenizer")
 MEASURES = ("n_docs", "n_tokens", "n_bytes")
@@ -39,6 +39,7 @@ _DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens lo
 
 def count_tokens(docs: DataFrame, version: str, tokenizer: Tokenizer | None, text_column: str = "text") -> DataFrame:
     """``source, lang, tokenizer, n_tokens, n_bytes`` for every row; without a tokenizer, words are counted."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col(text_column).alias("text"))
 
     def run(batches):
