@@ -42,7 +42,9 @@ from loomwork.llm.shared import in_steps, stored, text_buffers, word_spans
 WINDOW, SEED = 35, 8
 _ODD_BYTE, _ODD_WORD, _ODD_SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 #: Bytes that are hashed at once; a longer word is hashed by itself.
-_BLOCK, _LONG_WORD = 1 << 20, 64
+_BLOCK, _LONG_WORD = 1 << 18, 64
+#: Bytes of texts in a step; the arrays over its words and bytes take some forty times as much.
+_STEP = 1 << 20
 
 
 @lru_cache(maxsize=8)
@@ -58,7 +60,7 @@ def _powers(odd: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers_for(odd: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(odd, 1 << max(16, int(size).bit_length()))
+    return _powers(odd, 1 << max(18, int(size).bit_length()))
 
 
 @lru_cache(maxsize=1)
@@ -157,7 +159,7 @@ _RUN = "anchor long, own long, k1 long, k2 int, start int, n int"
 
 def _run_rows(window: int, seed: int):
     def run(batches):
-        for batch in in_steps(batches, "text"):
+        for batch in in_steps(batches, "text", _STEP):
             w = _Words(batch.column("text"))
             w.hash()
             start, n, anchor, own = w.runs(window, seed)
@@ -177,7 +179,7 @@ def _window_rows(window: int):
     """The windows of the runs that a row lists, each with its run and its place in it."""
 
     def run(batches):
-        for batch in in_steps(batches, "text"):
+        for batch in in_steps(batches, "text", _STEP):
             w = _Words(batch.column("text"))
             w.hash()
             lists = batch.column("runs")
@@ -204,7 +206,7 @@ def _cut_rows(window: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("passages", pa.list_(passage)), ("kept", pa.string())])
 
     def run(batches):
-        for batch in in_steps(batches, "text"):
+        for batch in in_steps(batches, "text", _STEP):
             w = _Words(batch.column("text"))
             words = len(w.starts)
             lists = batch.column("marks")
