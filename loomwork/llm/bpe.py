@@ -8,7 +8,8 @@ over all tasks:
 2. two neighbours are stitched at the first place inside their overlap where
    both have a pre-token boundary. The pattern only looks ahead, so from a
    common boundary on both cut alike; matches that the end of a chunk may have
-   cut short are left out of account. Where two neighbours have no such place
+   cut short are left out of account, and so are boundaries after white space:
+   a run of it is cut otherwise where a piece ends. Where two neighbours have no such place
    (one pre-token longer than the overlap), the text is encoded whole;
 3. the pieces between stitches are encoded, each by itself, in parallel, and
    the ids of a text are put in order again.
@@ -80,10 +81,13 @@ class Tokenizer:
         return b"".join(map(_tables(self.ranks, self.pattern)[1].__getitem__, ids))
 
     def boundaries(self, text: str) -> list[int]:
-        """Starts of pre-tokens between two characters that every Unicode version classes alike."""
+        """Starts of pre-tokens between two characters that every Unicode version classes alike, the first no white space.
+
+        White space that ends a piece has nothing after it to look ahead to, and would be one pre-token.
+        """
         plain = lambda c: c < "\u0250" and not "\x1c" <= c <= "\x1f"
         starts = (m.start() for m in _boundary_pattern(self.pattern).finditer(text))
-        return [b for b in starts if plain(text[b]) and (b == 0 or plain(text[b - 1]))]
+        return [b for b in starts if plain(text[b]) and (b == 0 or (plain(text[b - 1]) and not text[b - 1].isspace()))]
 
     def digits(self, ids) -> bytes:
         return b" ".join(map(_tables(self.ranks, self.pattern)[2].__getitem__, ids))

@@ -47,6 +47,13 @@ def test_stitched_texts_of_many_kinds(docs_of, tokenizer, reference):
     assert run(docs_of(rows), tokenizer, chunk=64, overlap=30) == expected(rows, reference)
 
 
+@pytest.mark.parametrize("blank", ["\n\n", "\t\t", "  \n", "\n\n\n\n"])
+def test_seam_right_after_white_space(docs_of, tokenizer, reference, blank):
+    """The second chunk starts on the first character after a blank line."""
+    rows = [(1, "x" * (34 - len(blank)) + blank + "word and more of it " * 5, "", "", 0)]
+    assert run(docs_of(rows), tokenizer, chunk=64, overlap=30) == expected(rows, reference)
+
+
 def test_decoding_gives_the_bytes(docs_of, odd_rows, tokenizer):
     encoded = bpe.encode(docs_of(odd_rows), tokenizer, chunk=1000, overlap=200)
     got = sorted(((r.doc_id, bytes(r.decoded)) for r in bpe.decode(encoded, tokenizer).collect()), key=repr)
