@@ -11,7 +11,7 @@ from loomwork.llm.shared import stored, table
 STAGES = [
     ("language_id", stages.language_id),
     ("line_dedup", stages.line_dedup),
-    ("simhash_dedup", stages.simhash_dedup),
+    ("simhash_dedup", stages.near_dedup),
     ("mix_sources", stages.mix_sources),
     ("bpe_encode", stages.bpe_encode),
 ]

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, catalogue, langid, line_dedup as lines, mixing, simhash
-from loomwork.llm.shared import stored
+from loomwork.llm import bpe, catalogue, langid, line_dedup as lines, mixing, shingles, simhash
+from loomwork.llm.shared import components, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,15 +30,34 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
-def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one of the smallest id, or of the smaller content among equal ids."""
+def _simhash_firsts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents, each with a number ``_row``, and of each SimHash component the one that stays."""
     # Rows are told apart by a number they are written with, as ids may be null or repeat.
     rows = stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "stage-simhash")
     # In order of id: the smallest number of a component is then that of its smallest id.
     order = rows.select("_row", "doc_id", F.xxhash64("text").alias("h"))
     found = simhash.simhash_dedup(rows, "_row").select(F.col("doc_id").alias("_row"), "component_id")
     best = found.join(order, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "_row")).alias("best"))
-    return rows.join(best.select(F.col("best._row").alias("_row")), "_row", "left_semi").select(*COLUMNS)
+    return rows, best.select("best.*")
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component: the one of the smallest id, or of the smaller content among equal ids."""
+    rows, best = _simhash_firsts(docs)
+    return rows.join(best.select("_row"), "_row", "left_semi").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What ``simhash_dedup`` keeps, less near copies: one document of each component of five-word similarity 0.8 or more."""
+    rows, best = _simhash_firsts(docs)
+    best = stored(best, "stage-firsts")
+    left = rows.join(best.select("_row"), "_row", "left_semi")
+    roots = components(shingles.near_links(left), "stage-near").withColumnRenamed("vertex", "_row")
+    # Of each component all go but the one that comes first, as in ``simhash_dedup``.
+    placed = stored(best.join(roots, "_row"), "stage-placed")
+    stay = placed.groupBy("root").agg(F.min(F.struct("no_id", "doc_id", "h", "_row")).alias("best")).select(F.col("best._row").alias("_row"))
+    kept = best.join(placed.join(stay, "_row", "left_anti"), "_row", "left_anti")
+    return rows.join(kept.select("_row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
