@@ -207,7 +207,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, near: int = NEAR, id_column:
     each = rows.select("no_id", "k1", "k2", F.posexplode(_lines()).alias("pos", "line")).where(F.length(F.trim("line")) > 0)
     each = each.select(*_PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.length("line").alias("n"))
     firsts = each.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("at"), F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
-    firsts = stored(firsts, "lines-first", release=True)
+    firsts = stored(firsts, "lines-first")
     more = firsts.where("c > 1").select("h1", "h2", "at")
     copies = each.join(more, ["h1", "h2"]).where(F.struct(*_PLACE) != F.col("at")).select("k1", "k2", "pos", F.lit(0).alias("near"))
 
@@ -221,16 +221,16 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, near: int = NEAR, id_column:
 
     longer = lines_at(wanted).withColumn("n", F.length("line"))
     keys = longer.select("h1", F.inline(_keys(F.col("line"), F.col("n"), edits)))
-    keys = stored(keys, "lines-keys", release=True)
+    keys = stored(keys, "lines-keys")
     own, probe = keys.where("own").select("key", "h1"), keys.where("NOT own").select("key", F.col("h1").alias("a"))
     index = own.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.min("h1").alias("lo"), F.max("h1").alias("hi"))
-    index = stored(index, "lines-index", release=True)
+    index = stored(index, "lines-index")
     met = probe.join(index.hint("shuffle_hash"), "key").where("lines > 1 OR lo <> a")
-    met = stored(met, "lines-met", release=True)
+    met = stored(met, "lines-met")
     few = met.where("lines <= 2").select("a", F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
     few = few.unionByName(index.where("lines = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")))
     # Keys of more lines: all that have or probe one meet those that have it.
-    members = stored(own.join(index.where("lines > 2").select("key", "lines"), "key"), "lines-members", release=True)
+    members = stored(own.join(index.where("lines > 2").select("key", "lines"), "key"), "lines-members")
     members = members.select("key", F.col("h1").alias("a"), "lines", F.lit(True).alias("own"))
     many = members.unionByName(met.where("lines > 2").select("key", "a", "lines", F.lit(False).alias("own")))
     mine = lambda df: df.where("own").select(F.col("key").alias("k"), F.col("a").alias("b"), *[F.col(c).alias("theirs") for c in df.columns if c == "sign"])
@@ -244,17 +244,17 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, near: int = NEAR, id_column:
         return lines_at(there.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.pos", "h1", "at")).alias("places")), *also)
 
     signed = located(crowd.select(F.col("a").alias("h1")).distinct()).select(F.col("h1").alias("a"), signature(F.col("line")).alias("sign"))
-    crowd = stored(crowd.join(signed, "a").select("key", "a", "own", "sign"), "lines-crowd", release=True)
+    crowd = stored(crowd.join(signed, "a").select("key", "a", "own", "sign"), "lines-crowd")
     sifted = crowd.join(mine(crowd), apart & may_be_near(F.col("sign"), F.col("theirs"), edits)).select("a", "b")
     every = few.unionByName(usual).unionByName(sifted).where("a <> b")
-    pairs = stored(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lines-pairs", release=True)
+    pairs = stored(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lines-pairs")
 
     # 3. Verify on the texts of the lines that are in a pair.
     side = located(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "at")
     left, right = (side.select(F.col("h1").alias(c), F.col("at").alias(f"{c}_at"), F.col("line").alias(f"{c}_line")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a_at", "b_at", F.col("a_line").alias("a"), F.col("b_line").alias("b"))
     later = both.where(within(F.col("a"), F.col("b"), edits)).select(F.greatest("a_at", "b_at").alias("at")).distinct()
-    close = stored(later.select("at.k1", "at.k2", "at.pos", F.lit(1).alias("near")), "lines-near", release=True)
+    close = stored(later.select("at.k1", "at.k2", "at.pos", F.lit(1).alias("near")), "lines-near")
 
     # 4. Drop.
     drops = copies.unionByName(close).groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "near")).alias("drops"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +24,14 @@ STEP_BYTES = 2 << 20
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) is a local folder used.
+    Where that is unset, a session on one machine gets a local folder; on a
+    cluster there is none that all could read, which is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is unset: with master {master!r} it must name a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "loomwork-shared")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -55,33 +62,81 @@ def _give_back() -> None:
         return
 
 
-def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+#: Drops the shuffle files of a query when it ends; without this they stay until the driver's collector comes by.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaned(spark: SparkSession):
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
+def _root(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/loomwork-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Paths of the tables that ``stored`` wrote since ``scratch`` was entered.
+_written: ContextVar[list[str] | None] = ContextVar("loomwork-written", default=None)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts lineage without keeping blocks on executors: a lost executor
-    costs nothing that was written. The table lives until ``clear_stored``.
-    Spark drops a finished job's shuffle files when the driver's collector
-    finds that nothing refers to them, which the scheduler does until the next
-    job. ``release`` runs an empty one and has the collector look at once; this
-    is worth its time after a shuffle of texts.
+    costs nothing that was written. The shuffle files of the write go when it
+    ends; the table lives until ``discard``, the end of ``scratch`` or
+    ``clear_stored``.
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    root = f"{shared_folder(spark).rstrip('/')}/loomwork-{spark.sparkContext.applicationId}"
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    if release:
-        spark.range(1).write.format("noop").mode("overwrite").save()
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _written.get() is not None:
+        _written.get().append(path)
+    with _cleaned(spark):
+        df.write.mode("error").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomwork_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` returned and nothing will read again; other frames are left alone."""
+    for df in tables:
+        path = getattr(df, "_loomwork_path", None)
+        if path is not None:
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete on leaving what ``stored`` wrote since entering, but for the tables put into the yielded list."""
+    own, kept = [], []
+    token = _written.set(own)
+    try:
+        yield kept
+    finally:
+        _written.reset(token)
+        stay = {df._loomwork_path for df in kept}
+        for path in own:
+            if path not in stay:
+                _delete(spark, path)
+        if _written.get() is not None:
+            _written.get().extend(stay)
 
 
 def clear_stored(spark: SparkSession) -> None:
     """Delete every table that ``stored`` wrote in this application."""
-    root = f"{shared_folder(spark).rstrip('/')}/loomwork-{spark.sparkContext.applicationId}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _root(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,9 +204,10 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def row_key(*columns):
-    """A 64-bit key of a row's identity and content, the same on every run."""
-    return F.xxhash64(*columns)
+def content_key(*columns: str):
+    """Two 64-bit hashes that tell rows apart by some columns, nulls included; the same on every run."""
+    known = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return F.xxhash64(*known), F.xxhash64(F.lit(1), *known)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -163,6 +219,12 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     the shared folder, minima are taken with partial aggregation, and nothing
     but the edge count reaches the driver. ``root`` is the smallest vertex.
     """
+    with scratch(edges.sparkSession) as kept:
+        kept.append(_hung(edges, name))
+    return kept[0]
+
+
+def _hung(edges: DataFrame, name: str) -> DataFrame:
     edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
     hung: list[DataFrame] = []
     while not edges.isEmpty():
@@ -177,12 +239,13 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         left = parent.select(F.col("vertex").alias("a"), F.col("parent").alias("pa"))
         right = parent.select(F.col("vertex").alias("b"), F.col("parent").alias("pb"))
         moved = edges.join(left, "a").join(right, "b").where("pa <> pb")
-        edges = stored(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), f"{name}-edges")
+        before, edges = edges, stored(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), f"{name}-edges")
+        discard(before)
     if not hung:
-        return edges.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
+        return stored(edges.select(F.col("a").alias("vertex"), F.col("b").alias("root")), f"{name}-roots")
     # Compose from the last round back: a vertex's root is its parent's root, if the parent moved on.
     found = hung[-1].select("vertex", F.col("parent").alias("root"))
     for parent in reversed(hung[:-1]):
         later = found.select(F.col("vertex").alias("parent"), F.col("root").alias("later"))
         found = parent.join(later, "parent", "left").select("vertex", F.coalesce("later", "parent").alias("root"))
-    return found
+    return stored(found, f"{name}-roots")

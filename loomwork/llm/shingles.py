@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import components, in_steps, lower_ascii, stored
+from loomwork.llm.shared import components, discard, in_steps, lower_ascii, scratch, stored
 from loomwork.llm.substring_dedup import _ODD_WORD, _STEP, _spans_hash, _Words
 
 #: Words of a shingle.
@@ -94,32 +94,43 @@ def _verified(pairs: DataFrame, rows: DataFrame, each: DataFrame) -> DataFrame:
     of = lambda c: each.select(F.col("row").alias(c), F.col("n").alias(f"{c}_n"), F.col("sign").alias(f"{c}_sign"))
     differ = sum((F.bit_count(F.get("a_sign", F.lit(i)).bitwiseXOR(F.get("b_sign", F.lit(i)))) for i in range(_LONGS)), F.lit(0))
     open_ = pairs.join(of("a"), "a").join(of("b"), "b").where(9 * differ <= F.col("a_n") + F.col("b_n"))
-    pairs = stored(open_.select("a", "b"), "shingle-pairs", release=True)
+    pairs = stored(open_.select("a", "b"), "shingle-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
-    held = stored(rows.join(wanted, "_row", "left_semi").select("_row", "text").mapInArrow(_set_rows, "row long, members binary"), "shingle-sets", release=True)
+    held = stored(rows.join(wanted, "_row", "left_semi").select("_row", "text").mapInArrow(_set_rows, "row long, members binary"), "shingle-sets")
     side = lambda c, name: held.select(F.col("row").alias(c), F.col("members").alias(name))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(_near_rows, "a long, b long"), "shingle-near", release=True)
+    found = stored(both.mapInArrow(_near_rows, "a long, b long"), "shingle-near")
+    discard(pairs, held)
+    return found
 
 
 def near_links(rows: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` whose components are those of all near pairs among rows ``_row, text``; ``_row`` is unique."""
+    with scratch(rows.sparkSession) as kept:
+        kept.append(_near_links(rows))
+    return kept[0]
+
+
+def _near_links(rows: DataFrame) -> DataFrame:
     rows = rows.select("_row", lower_ascii(F.coalesce("text", F.lit(""))).alias("text"))
-    each = stored(rows.mapInArrow(_key_rows, "row long, n int, sign array<long>, keys array<long>"), "shingle-keys", release=True)
+    each = stored(rows.mapInArrow(_key_rows, "row long, n int, sign array<long>, keys array<long>"), "shingle-keys")
     keys = each.select(F.posexplode("keys").alias("place", "key"), "row", "n").select("key", "row", "n", "place")
     heads = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "n", "place")).alias("head")).where("c > 1")
-    heads = stored(heads.select("key", "head.*"), "shingle-heads", release=True)
-    shared = stored(keys.join(heads.select("key"), "key", "left_semi"), "shingle-shared", release=True)
+    heads = stored(heads.select("key", "head.*"), "shingle-heads")
+    shared = stored(keys.join(heads.select("key"), "key", "left_semi"), "shingle-shared")
 
     met = shared.alias("l").join(heads.alias("r"), "key").where((F.col("l.row") != F.col("r.row")) & _room())
     first = _verified(met.select(F.col("l.row").alias("a"), F.col("r.row").alias("b")), rows, each)
+    discard(heads)
 
     # What the comparisons with the first rows did not join.
     roots = components(first, "shingle").select(F.col("vertex").alias("row"), "root")
     placed = shared.join(roots, "row", "left").select("key", "row", "n", "place", F.coalesce("root", "row").alias("root"))
     placed = stored(placed, "shingle-placed")
+    discard(shared)
     several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    apart = stored(placed.join(several, "key", "left_semi"), "shingle-apart", release=True)
+    apart = stored(placed.join(several, "key", "left_semi"), "shingle-apart")
+    discard(placed)
     met = apart.alias("l").join(apart.alias("r"), "key").where((F.col("l.row") < F.col("r.row")) & (F.col("l.root") != F.col("r.root")) & _room())
     rest = _verified(met.select(F.col("l.row").alias("a"), F.col("r.row").alias("b")), rows, each)
-    return first.unionByName(rest)
+    return stored(first.unionByName(rest), "shingle-links")

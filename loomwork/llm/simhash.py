@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import components, in_steps, stored, text_buffers
+from loomwork.llm.shared import components, in_steps, scratch, stored, text_buffers
 
 #: Words of a shingle, seed of the hash, bits that may differ.
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -243,7 +243,9 @@ def simhash_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """``doc_id, fingerprint, component_id`` for every row of ``docs``."""
     fps = stored(fingerprints(docs, id_column, text_column), "simhash-fps")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(linked(distinct.select("fp"), radius), "simhash")
+    with scratch(docs.sparkSession) as kept:
+        kept.append(components(linked(distinct.select("fp"), radius), "simhash"))
+    roots = kept[0]
     placed = distinct.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = placed.join(named, "root").select("fp", "component_id")
