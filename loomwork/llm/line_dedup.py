@@ -1,21 +1,22 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
 A line (text between line feeds) goes where an equal line came before it in the
-corpus, or one within ``edits`` edits; documents are ordered by id, lines by
-their place. Near copies are sought among lines of ``near`` characters or more;
-shorter lines go only as exact copies. Blank lines always stay.
+corpus, or a near one: within one edit for every ``share`` characters of the
+shorter line, and ``edits`` at most. Documents are ordered by id, null last, then
+by content; lines by their place. Blank lines always stay.
 
 1. Occurrences of a line are reduced to its first place, its count and two
    64-bit hashes, without its text; map tasks combine first, so a line that
    makes up a large part of all lines is a row of each map task.
-2. The first copies are split into ``edits + 1`` segments. A line within
-   ``edits`` edits has one of them unchanged, shifted by no more than the edits
-   on one side allow, so every line probes the index with the substrings that
-   its length and each indexed length admit (multi-match-aware selection). A
-   key holds the segment's number, the indexed length and the substring's hash.
-   Keys are made in one pass over the texts. The index has one row for each key:
-   how many lines have it and two of them, so a key of one or two lines gives its
-   pairs in the probe itself. Lines of larger keys meet by key; where more than ``FREQUENT`` share one (near copies by the
+2. The first copies are split into segments, one more than the edits that their
+   length allows. A line within that many edits has one of them unchanged, shifted
+   by no more than the edits on one side allow, so every line probes the index
+   with the substrings that its length and each indexed length admit
+   (multi-match-aware selection). A key holds the segment's number, the indexed
+   length and the substring's hash. Keys are made in one pass over the texts. The
+   index has one row for each key: how many lines have it and two of them, so a
+   key of one or two lines gives its pairs in the probe itself. Lines of larger
+   keys meet by key; where more than ``FREQUENT`` share one (near copies by the
    thousand do), each line brings a signature of its characters, and only pairs
    whose signatures are within reach of each other leave the join. No pair that
    is within the edits is lost.
@@ -26,13 +27,19 @@ shorter lines go only as exact copies. Blank lines always stay.
    of any line. Documents get their dropped places as one array.
 
 Texts are shuffled by document only: for the keys, for the lines of frequent keys,
-for the lines that are in a pair, and for the result. Each step's shuffle files are released
-after it.
+for the lines that are in a pair, and for the result. Each step's shuffle files go
+when it ends, its table when the last step that reads it has ended.
+
+Rows are told apart by two 64-bit hashes of their id and text, lines by two of
+their characters.
 
 Defined cases: a null text counts as empty. Rows alike in id and text count as
-one row, each getting the same decision; null ids come last. A row of which
-nothing but blank lines is left keeps those. Other columns are ignored. An
-empty table gives an empty result.
+one row, each getting the same decision; null ids come last. Of equal or near
+lines in one document the earlier one stays. A line of fewer than ``share``
+characters is allowed no edit, so it goes as an exact copy only. Very long lines
+and texts are compared whole; they take memory in proportion to their length. A
+row of which nothing but blank lines is left keeps those. Other columns are
+ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,10 +49,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import stored
+from loomwork.llm.shared import content_key, discard, stored
 
-#: Edits allowed, and characters from which a line is long enough for them.
-EDITS, NEAR = 2, 30
+#: Edits allowed at most, and characters of the shorter line for each of them.
+EDITS, SHARE = 2, 10
 #: Lines that may share an index key before its pairs are sifted by signatures.
 FREQUENT = 16
 #: Powers of two that the search for common starts and ends goes down from.
@@ -75,13 +82,27 @@ def _key(line: Column, i: int, indexed: Column, start: Column, size: Column) ->
     return F.xxhash64(F.lit(i), indexed, F.substring(line, start, size))
 
 
-def _keys(line: Column, n: Column, edits: int) -> Column:
-    """Keys of a line, each with whether it is its own in the index or one to probe."""
-    keys = []
-    for less, i, shift in probes(edits):
-        start, size = segment(n - less, i, edits)
-        keys.append(F.struct(_key(line, i, n - less, start + shift, size).alias("key"), F.lit(less == shift == 0).alias("own")))
-    return F.array(*keys)
+def allowed(n: Column, edits: int, share: int) -> Column:
+    """Edits that a pair is allowed whose shorter line has ``n`` characters."""
+    return F.least(F.lit(edits), F.floor(n / share).cast("int"))
+
+
+def _keys(line: Column, n: Column, edits: int, share: int) -> Column:
+    """Keys of a line, each with whether it is its own in the index or one to probe.
+
+    An indexed length has as many segments as its edits ask for.
+    """
+
+    def keys(most: int) -> list[tuple[Column, Column]]:
+        out = []
+        for less, i, shift in probes(most):
+            start, size = segment(n - less, i, most)
+            out.append((n - less, F.struct(_key(line, i, n - less, start + shift, size).alias("key"), F.lit(less == shift == 0).alias("own"))))
+        return out
+
+    some = [F.when(allowed(m, edits, share) == most, key) for most in range(1, edits + 1) for m, key in keys(most)]
+    every = F.array(*[key for _, key in keys(edits)])
+    return F.when(n >= edits * share + edits, every).otherwise(F.array_compact(F.array(*some)))
 
 
 def signature(line: Column) -> Column:
@@ -180,21 +201,30 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     return _bind(both, lambda t: F.when(_inside(t["x"], t["y"], edits), banded(t["x"], t["y"], edits)).otherwise(F.lit(False)))
 
 
-_PLACE = ("no_id", "k1", "k2", "pos")
+def near_copies(a: Column, b: Column, edits: int = EDITS, share: int = SHARE) -> Column:
+    """Whether two strings are within the edits that the shorter one is allowed."""
+    most = allowed(F.least(F.length(a), F.length(b)), edits, share)
+    choice = F.when(most == edits, within(a, b, edits))
+    for fewer in range(1, edits):
+        choice = choice.when(most == fewer, within(a, b, fewer))
+    return choice.otherwise(F.lit(False))
+
+
+_PLACE = ("no_id", "id", "k1", "k2", "pos")
 
 
 def _rows(docs: DataFrame, id_column: str, text_column: str, also: tuple[str, ...]) -> DataFrame:
     rest = F.struct(*[F.col(c) for c in also]) if also else F.lit(None).cast("string")
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), rest.alias("rest"))
-    no_id = F.col("doc_id").isNull()
-    return rows.select("doc_id", "text", "rest", F.coalesce("doc_id", F.lit(0)).alias("k1"), F.hash(no_id, "text").alias("k2"), no_id.alias("no_id"))
+    k1, k2 = content_key("doc_id", "text")
+    return rows.select("doc_id", "text", "rest", F.coalesce("doc_id", F.lit(0)).alias("id"), k1.alias("k1"), k2.alias("k2"), F.col("doc_id").isNull().alias("no_id"))
 
 
 def _lines(text: str = "text") -> Column:
     return F.split(F.col(text), "\n", -1)
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, near: int = NEAR, id_column: str = "doc_id", text_column: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int = EDITS, share: int = SHARE, id_column: str = "doc_id", text_column: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_lines, n_removed, n_near, kept`` and the columns ``also`` for every row.
 
     ``n_lines`` counts all lines, ``n_removed`` those that went, ``n_near`` those
@@ -204,15 +234,15 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, near: int = NEAR, id_column:
     texts = rows.select("k1", "k2", "text")
 
     # 1. The first place of every line.
-    each = rows.select("no_id", "k1", "k2", F.posexplode(_lines()).alias("pos", "line")).where(F.length(F.trim("line")) > 0)
+    each = rows.select(*_PLACE[:-1], F.posexplode(_lines()).alias("pos", "line")).where(F.length(F.trim("line")) > 0)
     each = each.select(*_PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.length("line").alias("n"))
     firsts = each.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("at"), F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
     firsts = stored(firsts, "lines-first")
     more = firsts.where("c > 1").select("h1", "h2", "at")
     copies = each.join(more, ["h1", "h2"]).where(F.struct(*_PLACE) != F.col("at")).select("k1", "k2", "pos", F.lit(0).alias("near"))
 
-    # 2. Segments and probes of the first copies that are long enough.
-    wanted = firsts.where(F.col("n") >= near).groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.pos", "h1")).alias("places"))
+    # 2. Segments and probes of the first copies that are allowed an edit.
+    wanted = firsts.where(F.col("n") >= share).groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.pos", "h1")).alias("places"))
 
     def lines_at(places: DataFrame, *also: str) -> DataFrame:
         held = texts.join(places, ["k1", "k2"]).select(_lines().alias("all"), "places")
@@ -220,19 +250,21 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, near: int = NEAR, id_column:
         return one.distinct() if also else one
 
     longer = lines_at(wanted).withColumn("n", F.length("line"))
-    keys = longer.select("h1", F.inline(_keys(F.col("line"), F.col("n"), edits)))
+    keys = longer.select("h1", F.inline(_keys(F.col("line"), F.col("n"), edits, share)))
     keys = stored(keys, "lines-keys")
     own, probe = keys.where("own").select("key", "h1"), keys.where("NOT own").select("key", F.col("h1").alias("a"))
+    # A repeated row gives its lines again: they count once.
     index = own.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.min("h1").alias("lo"), F.max("h1").alias("hi"))
-    index = stored(index, "lines-index")
+    index = stored(index.withColumn("lines", F.when(F.col("lo") == F.col("hi"), F.lit(1)).otherwise(F.col("lines"))), "lines-index")
     met = probe.join(index.hint("shuffle_hash"), "key").where("lines > 1 OR lo <> a")
     met = stored(met, "lines-met")
     few = met.where("lines <= 2").select("a", F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
     few = few.unionByName(index.where("lines = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")))
     # Keys of more lines: all that have or probe one meet those that have it.
-    members = stored(own.join(index.where("lines > 2").select("key", "lines"), "key"), "lines-members")
-    members = members.select("key", F.col("h1").alias("a"), "lines", F.lit(True).alias("own"))
-    many = members.unionByName(met.where("lines > 2").select("key", "a", "lines", F.lit(False).alias("own")))
+    held = stored(own.join(index.where("lines > 2").select("key", "lines"), "key").distinct(), "lines-members")
+    discard(keys)
+    members = held.select("key", F.col("h1").alias("a"), "lines", F.lit(True).alias("own"))
+    many = members.unionByName(met.where("lines > 2").select("key", "a", "lines", F.lit(False).alias("own")).distinct())
     mine = lambda df: df.where("own").select(F.col("key").alias("k"), F.col("a").alias("b"), *[F.col(c).alias("theirs") for c in df.columns if c == "sign"])
     apart = (F.col("key") == F.col("k")) & (F.col("a") != F.col("b"))
     usual, crowd = many.where(F.col("lines") <= FREQUENT), many.where(F.col("lines") > FREQUENT)
@@ -240,7 +272,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, near: int = NEAR, id_column:
 
     def located(ids: DataFrame, *also: str) -> DataFrame:
         """The lines of some hashes, with their places if wanted."""
-        there = firsts.where(F.col("n") >= near).join(ids, "h1", "left_semi")
+        there = firsts.where(F.col("n") >= share).join(ids, "h1", "left_semi")
         return lines_at(there.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.pos", "h1", "at")).alias("places")), *also)
 
     signed = located(crowd.select(F.col("a").alias("h1")).distinct()).select(F.col("h1").alias("a"), signature(F.col("line")).alias("sign"))
@@ -248,13 +280,15 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, near: int = NEAR, id_column:
     sifted = crowd.join(mine(crowd), apart & may_be_near(F.col("sign"), F.col("theirs"), edits)).select("a", "b")
     every = few.unionByName(usual).unionByName(sifted).where("a <> b")
     pairs = stored(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lines-pairs")
+    discard(index, met, held, crowd)
 
     # 3. Verify on the texts of the lines that are in a pair.
     side = located(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "at")
     left, right = (side.select(F.col("h1").alias(c), F.col("at").alias(f"{c}_at"), F.col("line").alias(f"{c}_line")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a_at", "b_at", F.col("a_line").alias("a"), F.col("b_line").alias("b"))
-    later = both.where(within(F.col("a"), F.col("b"), edits)).select(F.greatest("a_at", "b_at").alias("at")).distinct()
+    later = both.where(near_copies(F.col("a"), F.col("b"), edits, share)).select(F.greatest("a_at", "b_at").alias("at")).distinct()
     close = stored(later.select("at.k1", "at.k2", "at.pos", F.lit(1).alias("near")), "lines-near")
+    discard(pairs)
 
     # 4. Drop.
     drops = copies.unionByName(close).groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "near")).alias("drops"))

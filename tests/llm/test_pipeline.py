@@ -44,7 +44,7 @@ def test_line_stage(spark, docs_of, documents):
     got = stages.line_dedup(spark, docs_of(rows), "")
     assert got.columns == COLUMNS
     own = {r[0]: r for r in rows}
-    want = [(i, kept, own[i][2], own[i][3], len(kept)) for i, _, removed, _, kept in line_brute(rows, spark) if not removed or kept.strip()]
+    want = [(i, kept, own[i][2], own[i][3], len(kept)) for i, _, removed, _, kept in line_brute(rows) if not removed or kept.strip()]
     assert rows_of(got) == sorted(want, key=repr)
 
 
