@@ -14,41 +14,45 @@ their language are of low quality.
    gathered in one place. The result is a table with the logarithm of the
    interpolated probability of every n-gram seen, and of the back-off weight of
    every context.
-3. Scores. The table is cut into shards of about ``SHARD_ROWS`` rows by language
-   and the last character of the context, so all that one event needs is in one
-   shard. A shard has a bounded size, so it is broadcast, and the documents'
-   n-grams join it where they are read. Each shard is a pass that scores its
-   events and adds them to the document's sums; for alphabets of some hundred
-   characters there is one shard.
+3. Scores. Documents are packed, where they are read, into blocks of one language
+   with the distinct n-grams of all orders that they hold: equal events of many
+   documents become one request. Requests join the model table, sharded by n-gram,
+   in a shuffle; what was found goes back to its block, and the block's texts are
+   scored with that look-up alone. So neither the driver nor any task ever holds
+   the model, and a block has a bounded number of characters. A frequent n-gram
+   is one request of each block, and its partition can be split.
 4. Thresholds. One trusted document in ``FOLDS`` (by a hash of its id) is left out
    of the training; the perplexities of these give, by language, the quantile
-   above which a document goes.
+   above which a document goes. The quantile's rank is exact up to 100,000
+   documents of a language and off by a hundred thousandth of them at most above.
 
 The text that trains the model grows with the corpus, and so do the counts that
-are gathered from it.
+are gathered from it. N-grams of the model and of requests meet by 64-bit hashes
+of language and characters.
 
 Defined cases: null language is a language of its own. A null or empty text has
 no events: its perplexity is null and it is not kept. In a language without
 trusted text nothing can be judged: perplexity and threshold are null, and the
-document is kept. Rows with equal ids are judged each; a document is trusted if
-any row of its id is. Other columns are ignored. An empty table gives an empty
-result.
+document is kept. A very long text is cut into pieces that overlap by a context,
+and its sums are added up. Rows with equal ids are judged each, repeated rows too;
+a document is trusted if any row of its id is. A perplexity equal to the threshold
+passes. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import in_steps, stored
+from loomwork.llm.shared import discard, in_steps, scratch, stored
+from loomwork.llm.substring_dedup import _mixed
 
 #: Characters of an n-gram, quantile of the trusted perplexities that still passes.
 ORDER, QUANTILE = 4, 0.995
-#: Rows of a model shard at most: 24 bytes each, so a broadcast has at most 48 MB.
-SHARD_ROWS = 2_000_000
+#: Characters of a block at which it is closed, and of a piece of it that is worked on at once.
+BLOCK, PIECE = 16 << 20, 1 << 20
 #: Before every text stand ORDER - 1 of these.
 _START = "\x02"
 #: One in so many trusted documents sets thresholds instead of training.
@@ -125,6 +129,12 @@ def estimate(top: DataFrame, order: int = ORDER) -> DataFrame:
     character after those before it; ``logb``: of the back-off weight of the
     n-gram as a context. Either may be null.
     """
+    with scratch(top.sparkSession) as kept:
+        kept.append(stored(_estimated(top, order), "kn-model"))
+    return kept[0]
+
+
+def _estimated(top: DataFrame, order: int) -> DataFrame:
     level = stored(top, "kn-counts")
     levels = {order: level}
     for n in range(order - 1, 0, -1):
@@ -159,10 +169,17 @@ def estimate(top: DataFrame, order: int = ORDER) -> DataFrame:
     return every.groupBy("lang", "gram").agg(F.max("logp").alias("logp"), F.max("logb").alias("logb"))
 
 
+def _language(lang: str | None) -> np.uint64:
+    from xxhash import xxh64_intdigest
+
+    return np.uint64(0 if lang is None else xxh64_intdigest(lang.encode(), seed=1) | 1)
+
+
 def _keyed(batches):
-    """Rows (lang, gram, kind, value, key) with the n-gram's 64-bit key and the code of the context's last character."""
+    """Rows (gram, logp, logb) with a 64-bit key for language and n-gram."""
     for batch in batches:
-        grams = batch.column("gram").to_pylist()
+        grams, langs = batch.column("gram").to_pylist(), batch.column("lang").to_pylist()
+        of = {lang: _language(lang) for lang in set(langs)}
         keys = np.zeros(len(grams), np.uint64)
         sizes = np.array([len(g) for g in grams])
         for n in set(sizes.tolist()) - {0}:
@@ -172,108 +189,162 @@ def _keyed(batches):
             for i in range(n):
                 key = key * _BASE + codes[:, i].astype(np.uint64) + np.uint64(1)
             keys[at] = key
-        last = [None if k is None else ord(k) for k in batch.column("key").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("kind"), pa.array(keys.view(np.int64)), batch.column("value"), pa.array(last, pa.int64())], ["lang", "kind", "gram", "value", "last"])
-
-
-def _by_language(shard: pa.Table):
-    """By language: sorted keys with logarithms, of probabilities and of back-off weights; and the characters that contexts end in."""
-    tables, characters = {}, {}
-    for lang in shard.column("lang").unique().to_pylist():
-        own = shard.filter(pc.is_null(shard["lang"]) if lang is None else pc.fill_null(pc.equal(shard["lang"], lang), False))
-        both = []
-        for kind in ("p", "b"):
-            part = own.filter(pc.equal(own["kind"], kind))
-            keys = part["gram"].to_numpy().view(np.uint64)
-            at = np.argsort(keys)
-            both.append((keys[at], part["value"].to_numpy()[at]))
-        tables[lang] = both
-        characters[lang] = np.unique(own["last"].drop_null().to_numpy()).astype(np.uint32)
-    return tables, characters
-
-
-def _found(table, keys: np.ndarray) -> np.ndarray:
-    """The values of keys in a table; NaN where a key is missing."""
-    known, values = table
-    if not len(known):
-        return np.full(len(keys), np.nan)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return np.where(known[at] == keys, values[at], np.nan)
-
-
-def event_logs(tables, codes: np.ndarray, order: int, at: np.ndarray) -> np.ndarray:
+        keys = _mixed(keys ^ np.array([of[x] for x in langs], np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("logp"), batch.column("logb")], ["gram", "logp", "logb"])
+
+
+class _Block:
+    """Documents of one language: their rows, their characters in pieces, and the n-grams these hold."""
+
+    def __init__(self, lang: str | None, order: int, piece: int):
+        self.lang, self.order, self.piece, self.seed = lang, order, piece, _language(lang)
+        self.rows, self.pieces, self.sizes, self.owners, self.keys = [], [], [], [], [_mixed(np.zeros(1, np.uint64) ^ self.seed)]
+        self.count = self.characters = 0
+
+    def add(self, rows: pa.RecordBatch, texts: list[np.ndarray]) -> None:
+        """``texts`` are the codes of the rows' texts."""
+        step, overlap = self.piece, self.order - 1
+        cut = [(i, t[a : a + step + overlap]) for i, t in enumerate(texts, self.count) for a in range(0, max(1, len(t) - overlap), step)]
+        first, size = 0, 0
+        for k, (_, part) in enumerate(cut, 1):
+            size += len(part)
+            if size >= step or k == len(cut):
+                self._piece(cut[first:k])
+                first, size = k, 0
+        self.rows.append(rows)
+        self.count += rows.num_rows
+
+    def _piece(self, parts: list[tuple[int, np.ndarray]]) -> None:
+        codes, sizes = np.concatenate([p for _, p in parts]), np.array([len(p) for _, p in parts])
+        self.pieces.append(pa.compress(codes.tobytes(), "zstd", asbytes=True))
+        self.sizes.append(sizes)
+        self.owners.append(np.array([i for i, _ in parts]))
+        self.characters += len(codes)
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        # The longest n-grams, each once; shorter ones are what these begin with, and the ends of the texts.
+        start = np.arange(len(codes))
+        for n in range(self.order, 0, -1):
+            inside = start[(start + n) <= ends[start]]
+            keys, at = np.unique(_rolled(codes, n)[inside], return_index=True)
+            self.keys.append(_mixed(keys ^ self.seed))
+            tails = np.flatnonzero(np.arange(len(codes)) + n > ends)
+            start = np.union1d(inside[at], tails)
+
+    def row(self, uid: int, names: list[str]) -> dict:
+        table = pa.Table.from_batches(self.rows)
+        rows = pa.StructArray.from_arrays([pa.concat_arrays(table.column(c).chunks) for c in names], names)
+        keys = np.unique(np.concatenate(self.keys))
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        flat = lambda parts: one(pa.array(np.concatenate(parts).astype(np.int32)))
+        ends = np.cumsum([len(x) for x in self.sizes]).astype(np.int32)
+        return {"uid": pa.array([uid]), "lang": pa.array([self.lang], pa.string()), "rows": one(rows), "sizes": flat(self.sizes), "owners": flat(self.owners), "ends": one(pa.array(ends)), "pieces": one(pa.array(self.pieces, pa.binary())), "keys": one(pa.array(keys.view(np.int64)))}
+
+
+def _block_rows(order: int, names: list[str], block_size: int, piece: int):
+    def run(batches):
+        from pyspark import TaskContext
+
+        held: dict[str | None, _Block] = {}
+        uid = TaskContext.get().partitionId() << 32
+        for batch in in_steps(batches, "text", piece):
+            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
+            by_lang: dict = {}
+            for i, lang in enumerate(langs):
+                by_lang.setdefault(lang, []).append(i)
+            for lang, rows in by_lang.items():
+                block = held.setdefault(lang, _Block(lang, order, piece))
+                block.add(batch.select(names).take(pa.array(rows)), [_codes(texts[i] or "", order) for i in rows])
+                if block.characters >= block_size:
+                    yield pa.RecordBatch.from_pydict(block.row(uid, names))
+                    uid += 1
+                    del held[lang]
+            # Languages may be many: what is held stays bounded.
+            if sum(b.characters for b in held.values()) >= 4 * block_size:
+                lang = max(held, key=lambda x: held[x].characters)
+                yield pa.RecordBatch.from_pydict(held.pop(lang).row(uid, names))
+                uid += 1
+        for block in held.values():
+            yield pa.RecordBatch.from_pydict(block.row(uid, names))
+            uid += 1
+
+    return run
+
+
+class _Found:
+    """What the model has of a block's n-grams."""
+
+    def __init__(self, keys: np.ndarray, logp: np.ndarray, logb: np.ndarray, seed: np.uint64):
+        at = np.argsort(keys)
+        self.keys, self.logp, self.logb, self.seed = keys[at], logp[at], logb[at], seed
+
+    def look_up(self, values: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """The values of n-grams; NaN where one is missing."""
+        if not len(self.keys):
+            return np.full(len(grams), np.nan)
+        keys = _mixed(grams ^ self.seed)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, values[at], np.nan)
+
+
+def event_logs(found: _Found, codes: np.ndarray, order: int, at: np.ndarray) -> np.ndarray:
     """Natural logarithms of the probabilities of the events that end at the places ``at`` of ``codes``."""
     total, open_ = np.zeros(len(at)), np.arange(len(at))
-    p, b = tables
     for n in range(order, 0, -1):
-        keys = _rolled(codes, n)
-        logs = _found(p, keys[at[open_] - n + 1])
+        logs = found.look_up(found.logp, _rolled(codes, n)[at[open_] - n + 1])
         hit = ~np.isnan(logs)
         total[open_[hit]] += logs[hit]
         open_ = open_[~hit]
         if not len(open_):
             return total
         if n > 1:  # the context's weight, if it was ever seen
-            weight = _found(b, _rolled(codes, n - 1)[at[open_] - n + 1])
-            total[open_] += np.nan_to_num(weight)
-    total[open_] += _found(p, np.zeros(1, np.uint64))[0]
+            total[open_] += np.nan_to_num(found.look_up(found.logb, _rolled(codes, n - 1)[at[open_] - n + 1]))
+    total[open_] += found.look_up(found.logp, np.zeros(1, np.uint64))[0]
     return total
 
 
-def _score_rows(shared, order: int, names: list[str]):
-    """Add the events of one shard to the sums of every row."""
+def _score_rows(order: int, names: list[str]):
+    """Rows of a block with the sums of their events, by what was found for the block."""
 
     def run(batches):
-        tables, here_keys, elsewhere = shared.value
-        for batch in in_steps(batches, "text", 1 << 20):
-            langs = batch.column("lang").to_pylist()
-            texts = batch.column("text").to_pylist()
-            logs, events = batch.column("logs").to_numpy().copy(), batch.column("events").to_numpy().copy()
-            by_lang: dict = {}
-            for i, lang in enumerate(langs):
-                by_lang.setdefault(lang, []).append(i)
-            for lang, rows in by_lang.items():
-                if lang not in tables:
-                    continue
-                parts = [_codes(texts[i] or "", order) for i in rows]
-                codes = np.concatenate(parts)
-                row = np.repeat(rows, [len(x) for x in parts])
-                real = np.concatenate([np.arange(len(x)) >= order - 1 for x in parts])
-                if elsewhere is not None:
-                    before = np.append(0, codes[:-1])
-                    # Contexts that end in a character the model has never seen are scored with the first shard.
-                    real &= np.isin(before, here_keys[lang]) | (~np.isin(before, elsewhere[lang]) if elsewhere else False)
-                at = np.flatnonzero(real)
-                value = event_logs(tables[lang], codes, order, at)
-                logs += np.bincount(row[at], value, len(logs))
-                events += np.bincount(row[at], minlength=len(events))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(logs), pa.array(events)], [*names, "logs", "events"])
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows, pieces = batch.column("rows")[k].values, batch.column("pieces")[k].values
+                sizes, owners, ends = (batch.column(c)[k].values.to_numpy() for c in ("sizes", "owners", "ends"))
+                logs, events = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
+                known = batch.column("found")[k].values
+                if known is not None and len(known):  # else the language has no model
+                    keys, logp, logb = (known.field(c).to_numpy(zero_copy_only=False) for c in ("gram", "logp", "logb"))
+                    found = _Found(keys.view(np.uint64), logp.astype(float), logb.astype(float), _language(batch.column("lang")[k].as_py()))
+                    for i, b in enumerate(ends.tolist()):
+                        a = int(ends[i - 1]) if i else 0
+                        total = int(sizes[a:b].sum())
+                        codes = np.frombuffer(pa.decompress(pieces[i].as_buffer(), 4 * total, "zstd"), np.uint32)
+                        row = np.repeat(owners[a:b], sizes[a:b])
+                        begin = np.repeat(np.cumsum(sizes[a:b]) - sizes[a:b], sizes[a:b])
+                        at = np.flatnonzero(np.arange(total) - begin >= order - 1)
+                        logs += np.bincount(row[at], event_logs(found, codes, order, at), len(logs))
+                        events += np.bincount(row[at], minlength=len(events))
+                yield pa.RecordBatch.from_arrays([*[rows.field(c) for c in names], pa.array(logs), pa.array(events)], [*names, "logs", "events"])
 
     return run
 
 
-def scored(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The columns of ``docs(lang, text, ...)`` with ``logs`` (natural logarithms summed) and ``events`` (characters scored)."""
-    spark = docs.sparkSession
-    p = model.where("logp IS NOT NULL").select("lang", "gram", F.lit("p").alias("kind"), F.col("logp").alias("value"), F.substring("gram", -2, 1).alias("key"))
-    p = p.withColumn("key", F.when(F.length("gram") > 1, F.col("key")))  # shorter ones are in every shard
-    b = model.where("logb IS NOT NULL").select("lang", "gram", F.lit("b").alias("kind"), F.col("logb").alias("value"), F.substring("gram", -1, 1).alias("key"))
-    table = stored(p.unionByName(b), "kn-model")
-    shards = max(1, -(-table.count() // shard_rows))
-    table = table.withColumn("shard", F.pmod(F.hash("lang", "key"), F.lit(shards)))
-    names = docs.columns
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", logs double, events long"
-    out = docs.withColumn("logs", F.lit(0.0)).withColumn("events", F.lit(0).cast("long"))
-    keyed = lambda rows: rows.select("lang", "gram", "kind", "value", "key").mapInArrow(_keyed, "lang string, kind string, gram long, value double, last long").toArrow()
-    elsewhere = None
-    if shards > 1:  # all characters that contexts end in: as many as the alphabets have
-        every = table.where("key IS NOT NULL").select("lang", "key").distinct()
-        elsewhere = _by_language(keyed(every.select("lang", F.lit("").alias("gram"), F.lit("").alias("kind"), F.lit(0.0).alias("value"), "key")))[1]
-    for shard in range(shards):
-        tables, characters = _by_language(keyed(table.where(F.col("key").isNull() | (F.col("shard") == shard))))
-        shared = spark.sparkContext.broadcast((tables, characters, elsewhere if shard == 0 else None if elsewhere is None else {}))
-        out = out.mapInArrow(_score_rows(shared, order, names), kind)
-    return out
+def scored(docs: DataFrame, model: DataFrame, order: int = ORDER, block: int = BLOCK, piece: int = PIECE) -> DataFrame:
+    """The columns of ``docs(lang, text, ...)`` but the text, with ``logs`` (natural logarithms summed) and ``events`` (characters scored)."""
+    names = [c for c in docs.columns if c != "text"]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+    inner = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+    kind = f"uid long, lang string, rows array<struct<{inner}>>, sizes array<int>, owners array<int>, ends array<int>, pieces array<binary>, keys array<long>"
+    with scratch(docs.sparkSession) as kept:
+        table = stored(model.select("lang", "gram", "logp", "logb").mapInArrow(_keyed, "gram long, logp double, logb double"), "kn-keyed")
+        blocks = stored(docs.mapInArrow(_block_rows(order, names, block, piece), kind), "kn-blocks")
+        asked = blocks.select("uid", F.explode("keys").alias("gram"))
+        found = asked.join(table.hint("merge"), "gram").groupBy("uid").agg(F.collect_list(F.struct("gram", "logp", "logb")).alias("found"))
+        found = stored(found, "kn-found")
+        texts = blocks.select("uid", "lang", "rows", "sizes", "owners", "ends", "pieces")
+        sums = texts.join(found, "uid", "left").drop("uid").mapInArrow(_score_rows(order, names), f"{fields}, logs double, events long")
+        kept.append(stored(sums, "kn-sums"))
+    return kept[0]
 
 
 def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: float = QUANTILE, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
@@ -285,9 +356,10 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile:
     # A merge join whatever the number of ids, so that a small table takes the way that a large one has to.
     learned = rows.join(ids.where(~aside).hint("merge"), "doc_id", "left_semi").select("lang", "text")
     model = estimate(counts(learned, order), order)
-    sums = scored(rows, model, order).select("doc_id", "lang", "empty", "logs", "events")
+    sums = scored(rows, model, order)
+    discard(model)
     perplexity = F.when((F.col("events") > 0) & (F.col("logs") < 0), F.exp(-F.col("logs") / F.col("events")))
-    found = stored(sums.select("doc_id", "lang", "empty", F.col("events").alias("n_events"), perplexity.alias("perplexity")), "kn-scores")
+    found = sums.select("doc_id", "lang", "empty", F.col("events").alias("n_events"), perplexity.alias("perplexity"))
     judged = found.join(ids.where(aside), "doc_id", "left_semi").where("perplexity IS NOT NULL")
     limits = judged.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, F.lit(100_000)).alias("threshold")).withColumnRenamed("lang", "ll")
     with_limit = found.join(limits, F.col("lang").eqNullSafe(F.col("ll")), "left").drop("ll")

@@ -49,13 +49,14 @@ class Plain:
 TEXTS = {"en": ["the cat sat on the mat", "the hat", "", None, "a cat  at\nthe mat"], "日": ["東京都の猫 😀", "猫と猫"], None: ["abab abab"]}
 
 
-@pytest.mark.parametrize("order,shard_rows", [(2, 10**6), (4, 10**6), (4, 40), (6, 60)])
-def test_scores_against_the_book(spark, order, shard_rows):
+@pytest.mark.parametrize("order,block,piece", [(2, 1 << 24, 1 << 20), (4, 1 << 24, 1 << 20), (4, 30, 1 << 20), (4, 1 << 24, 7), (6, 40, 9)])
+def test_scores_against_the_book(spark, order, block, piece):
+    """Whatever the blocks and the pieces that texts are cut into."""
     train = spark.createDataFrame([(a, t) for a, ts in TEXTS.items() for t in ts], "lang string, text string")
     model = kn.estimate(kn.counts(train, order), order)
     probes = ["the cat sat", "zebra the", "", None, "東京 猫", "abab b a", "x" * 50]
-    docs = spark.createDataFrame([(i, a, t) for i, (a, t) in enumerate((a, t) for a in TEXTS for t in probes)], "i int, lang string, text string")
-    got = {r.i: (r.logs, r.events) for r in kn.scored(docs, model, order, shard_rows).collect()}
+    docs = spark.createDataFrame([(i, a, t) for i, (a, t) in enumerate((a, t) for a in [*TEXTS, "xx"] for t in probes)], "i int, lang string, text string")
+    got = {r.i: (r.logs, r.events) for r in kn.scored(docs, model, order, block, piece).collect()}
     plain = {a: Plain(ts, order) for a, ts in TEXTS.items()}
     for i, (a, t) in enumerate((a, t) for a in TEXTS for t in probes):
         logs, events = plain[a].logs(t)
