@@ -50,14 +50,21 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words and byte-level BPE tokens of all documents; loading the words again changes nothing."""
+    """Words, then byte-level BPE tokens, of all documents.
+
+    All documents are loaded with their words, those without a word are withdrawn
+    and come back, every count is revised to a second version, the counts by tokens
+    are added, what is committed is folded, and the load is repeated, which does nothing.
+    """
     docs = table(spark, sf_dir, "documents")
     words, pieces = token_counts.count_tokens(docs, "words", None), token_counts.count_tokens(docs, "byte_bpe_50k", default_tokenizer())
+    second = words.withColumn("tokenizer", F.lit("words-2"))
     store = token_counts.Rollups(spark, f"{shared_folder(spark).rstrip('/')}/loomwork-{spark.sparkContext.applicationId}/rollups-{uuid.uuid4().hex}")
     store.commit("load", token_counts.inserts(words))
-    store.commit("retokenise", token_counts.inserts(pieces))
-    # Documents without a word are withdrawn under the first version.
     store.commit("withdraw-empty", token_counts.deletes(words.where("n_tokens = 0")))
+    store.commit("revise", token_counts.revisions(words.where("n_tokens > 0"), second))
+    store.compact()
+    store.commit("tokens", token_counts.inserts(pieces))
     store.commit("load", token_counts.inserts(words))
     return store.totals()
 
