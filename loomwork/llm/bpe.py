@@ -9,8 +9,10 @@ over all tasks:
    both have a pre-token boundary. The pattern only looks ahead, so from a
    common boundary on both cut alike; matches that the end of a chunk may have
    cut short are left out of account, and so are boundaries after white space:
-   a run of it is cut otherwise where a piece ends. Where two neighbours have no such place
-   (one pre-token longer than the overlap), the text is encoded whole;
+   a run of it is cut otherwise where a piece ends. Characters beside a boundary
+   must be of one class in all versions of Unicode from 3.2 on, whatever the script.
+   Where two neighbours have no such place (one pre-token longer than the overlap),
+   the text is encoded whole;
 3. the pieces between stitches are encoded, each by itself, in parallel, and
    the ids of a text are put in order again.
 
@@ -19,13 +21,17 @@ as an end-of-text mark are ordinary text.
 
 Defined cases: a null text counts as empty and has no ids. Rows with equal or
 null ids stay apart: a long text is known by a number that its chunks were
-written with. Other columns are ignored. An empty table gives an empty result.
+written with. Repeated rows are encoded each. A very long text is dealt over
+tasks in chunks; only its ids, and its text where it can't be stitched, meet in one
+task again. Ties cannot arise. Other columns are ignored. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -62,6 +68,16 @@ def _boundary_pattern(pattern: str):
     return regex.compile(pattern)
 
 
+@lru_cache(maxsize=1 << 16)
+def _plain(c: str) -> bool:
+    """Whether every Unicode version from 3.2 on classes a character alike: letter, number, separator or other."""
+    if c < "\u0250":
+        return not "\x1c" <= c <= "\x1f"
+    kind = unicodedata.ucd_3_2_0.category(c)
+    of = lambda x: x[0] if x[0] in "LNZ" else "other"
+    return kind != "Cn" and of(kind) == of(unicodedata.category(c))
+
+
 class Tokenizer:
     """A byte-level BPE vocabulary: the content of a ranks file and the pre-token pattern.
 
@@ -85,9 +101,8 @@ class Tokenizer:
 
         White space that ends a piece has nothing after it to look ahead to, and would be one pre-token.
         """
-        plain = lambda c: c < "\u0250" and not "\x1c" <= c <= "\x1f"
         starts = (m.start() for m in _boundary_pattern(self.pattern).finditer(text))
-        return [b for b in starts if plain(text[b]) and (b == 0 or (plain(text[b - 1]) and not text[b - 1].isspace()))]
+        return [b for b in starts if _plain(text[b]) and (b == 0 or (_plain(text[b - 1]) and not text[b - 1].isspace()))]
 
     def digits(self, ids) -> bytes:
         return b" ".join(map(_tables(self.ranks, self.pattern)[2].__getitem__, ids))

@@ -7,8 +7,9 @@ bytes that are no letters are one space), hashed to ``DIM`` places, square
 rooted and scaled to length 1.
 
 Machines are trained on the driver from a sample of labelled rows that is
-bounded by ``PER_LANGUAGE`` documents a language (chosen by a hash of the id, so
-reruns agree); its features are computed on the executors. The weights are a
+bounded by ``PER_LANGUAGE`` documents a language, the first of as many strata of a
+hash of id and text, so reruns agree and no language with a labelled row is left
+out; its features are computed on the executors. The weights are a
 few vectors of ``DIM`` numbers for each pair of families or of languages of a
 family, and travel with the tasks.
 
@@ -16,7 +17,10 @@ Defined cases: a null text, or one without a letter, is ``und`` with score 0.
 Without any labelled row every text is ``und``; with one language every text
 with a letter is of it, with score 1. Equal votes go to the larger sum of
 margins, then to the earlier name. A null id is not held out and not learned
-from. Other columns are ignored. An empty table gives an empty result.
+from. Rows with equal ids are told apart by their texts when the sample is drawn;
+repeated rows count once there, and each gets its prediction. Very long texts are
+read whole, a step of the task each. Other columns are ignored. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -188,21 +192,23 @@ def _featured(batches):
             yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([v.tobytes() for v in x], pa.binary())], schema=schema)
 
 
+def sample(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
+    """``lang, text`` of at most ``per_language`` labelled rows a language, and of one at least."""
+    rows = labelled.where(F.col(lang_column).isNotNull()).select(F.col(lang_column).alias("lang"), F.coalesce(text_column, F.lit("")).alias("text"), F.col(id_column).alias("doc_id"))
+    rows = rows.select("lang", "text", F.xxhash64(F.lit("langid"), "doc_id", "text").alias("h"))
+    # The least hash of each stratum: per_language rows of a hash and a name for each language, so small enough to broadcast.
+    least = rows.groupBy("lang", F.pmod("h", F.lit(per_language)).alias("stratum")).agg(F.min("h").alias("h")).select("lang", "h")
+    return rows.join(F.broadcast(least), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+
+
 def train(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """A model from labelled rows; of a language with more than ``per_language`` rows, about as many are used."""
+    """A model from labelled rows, of which it takes a ``sample``."""
     bounded_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(lang_column).isNotNull()).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
-    # As many numbers as there are languages to learn, which the model has pairs of.
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not n:
-        return Model()
-    share = F.create_map(*[F.lit(x) for lang, many in sorted(n.items()) for x in (lang, per_language / many)])
-    place = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    few = rows.where(place < share[F.col("lang")]).select("lang", F.coalesce("text", F.lit("")).alias("text"))
-    sample = few.mapInArrow(_featured, "lang string, x binary").toArrow()  # per_language x languages x 16 kB
-    if not sample.num_rows:
+    few = sample(labelled, id_column, text_column, lang_column, per_language)
+    held = few.mapInArrow(_featured, "lang string, x binary").toArrow()  # per_language x languages x 16 kB
+    if not held.num_rows:
         return Model()
-    languages, rows = sample.column("lang").to_pylist(), sample.column("x").to_pylist()
+    languages, rows = held.column("lang").to_pylist(), held.column("x").to_pylist()
     order = sorted(range(len(rows)), key=lambda i: (languages[i], rows[i]))
     return fit(np.stack([np.frombuffer(rows[i], np.float32) for i in order]), [languages[i] for i in order])
 

@@ -24,8 +24,9 @@ fixed-point numbers, so a rerun agrees to the last copy.
 
 Defined cases: a null text has size 0. A null source is a source of its own,
 last in order. A source of no words has target 0 and takes none. Rows with
-equal ids are rounded alike. Other columns are ignored. An empty table gives an
-empty result.
+equal ids are rounded alike (``rounding`` can name more that tells them apart). Of
+documents that fit a gap equally well the largest id takes the copy. Very long texts
+are counted whole. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import in_steps, stored, text_buffers, word_spans
+from loomwork.llm.shared import in_steps, scratch, stored, text_buffers, word_spans
 
 #: Weights dealt to the sources in order, over and over.
 WEIGHTS = (1, 2, 3)
@@ -170,15 +171,24 @@ def _raise(taken: DataFrame, cap: int, passes: int, first: bool) -> DataFrame:
     return stored(new.select(*taken.columns), "mix-copies")
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", weights=WEIGHTS, cap: int = CAP, rounds: int = 3, fits: int = 3) -> DataFrame:
-    """``doc_id, source, size, source_size, target, rate double, copies int`` for every row of ``docs``."""
+def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", weights=WEIGHTS, cap: int = CAP, rounds: int = 3, fits: int = 3, rounding: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``doc_id, source, size, source_size, target, rate double, copies int`` for every row of ``docs``.
+
+    ``rounding``: what gives a document its rounding threshold, ``doc_id`` or fields of it.
+    """
+    with scratch(docs.sparkSession) as kept:
+        kept.append(stored(_mixed(docs, id_column, source_column, text_column, weights, cap, rounds, fits, rounding), "mix"))
+    return kept[0]
+
+
+def _mixed(docs: DataFrame, id_column: str, source_column: str, text_column: str, weights, cap: int, rounds: int, fits: int, rounding: tuple[str, ...]) -> DataFrame:
     named = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), F.col(text_column).alias("text"))
     sizes = stored(word_counts(named, "text", "doc_id", "source"), "mix-sizes")
     state = multipliers(sizes, targets(sizes, weights, cap), cap)
     by = state.withColumnRenamed("source", "s")
     rated = sizes.join(by, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # The hash of the id gives each document its own rounding threshold, in [0, 1).
-    u = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    u = F.pmod(F.xxhash64(F.lit("mix"), *rounding), F.lit(1 << 40)) / float(1 << 40)
     rate = F.when(F.col("full"), F.lit(float(cap))).when(F.col("size") == 0, F.lit(1.0)).otherwise(_rate(F.col("multiplier"), F.col("size") / F.col("mean"), cap))
     rated = stored(rated.select("doc_id", "source", "size", "source_size", "target", "full", rate.alias("rate"), u.alias("u")), "mix-rates")
     # First all documents share one shift of their source's threshold. What is then missing is smaller than

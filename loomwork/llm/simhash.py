@@ -1,8 +1,12 @@
 """SimHash near-dedup with a hierarchical index over fingerprints in Gray order.
 
 A fingerprint has 64 bits; two link at ``radius`` (3) or fewer differing bits.
-Of four quarters, two linked fingerprints share at least one, so each distinct
-fingerprint is turned four ways, a different quarter in front each time:
+Cut into B blocks, two linked fingerprints agree in B - 3 of them at least, so
+each distinct fingerprint is turned in as many ways as that many blocks can be
+chosen, the chosen ones in front: four ways of 16 bits, ten of 25, twenty of 31
+or thirty-five of 36. The fewest ways are taken that tell all fingerprints of the
+input apart well enough, so groups that share the front bits stay small at any
+size, and every choice finds every link:
 
 1. turned fingerprints are range-partitioned and sorted by Gray rank, in which
    neighbours tend to differ in one bit; leaves of at most ``LEAF`` follow one
@@ -22,13 +26,17 @@ A run too large for one leaf is cut into more leaves, in any number of range
 partitions, so no key gathers in a task. The index is exact: no link is lost.
 
 Defined cases: a null or empty text has fingerprint 0 and links like any other.
-Rows with equal ids count each. A component of null ids only has a null
-component_id. Other columns are ignored. An empty table gives an empty result.
+Rows with equal ids count each, repeated rows too; they meet as one fingerprint. A
+component of null ids only has a null component_id. A bit that is set in just half
+of the hashes is 0. A very long text is hashed whole, some shingles at a time. Other
+columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +47,8 @@ from loomwork.llm.shared import components, in_steps, scratch, stored, text_buff
 
 #: Words of a shingle, seed of the hash, bits that may differ.
 SHINGLE, SEED, RADIUS = 3, 42, 3
-QUARTERS = 4
+#: Blocks of a fingerprint at most.
+BLOCKS = 7
 #: Members of a leaf at most, and those that a run should have on average.
 LEAF, RUN = 1024, 256
 #: Fan-out of both index levels inside a leaf.
@@ -83,9 +92,45 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def _turned(fp: Column, quarter: int) -> Column:
-    bits = 64 // QUARTERS * quarter
-    return fp if bits == 0 else F.shiftleft(fp, bits).bitwiseOR(F.shiftrightunsigned(fp, 64 - bits))
+def _widths(blocks: int) -> list[int]:
+    return [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
+
+
+def ways(blocks: int, radius: int = RADIUS) -> list[tuple[int, ...]]:
+    """Orders of a fingerprint's blocks, from the highest bits: those that may agree in front."""
+    return [(*front, *(b for b in range(blocks) if b not in front)) for front in combinations(range(blocks), blocks - radius)]
+
+
+def front_bits(blocks: int, radius: int = RADIUS) -> int:
+    """Bits of the narrowest front."""
+    return sum(sorted(_widths(blocks))[: blocks - radius])
+
+
+def scheme(n: int, radius: int = RADIUS, run: int = RUN) -> tuple[int, int]:
+    """Blocks and front bits for ``n`` fingerprints, so that about ``run`` of them share the front bits."""
+    bits = max(1, math.ceil(math.log2(max(2, n / run))))
+    blocks = next((b for b in range(radius + 1, BLOCKS) if front_bits(b, radius) >= bits), BLOCKS)
+    return blocks, min(bits, front_bits(blocks, radius))
+
+
+def _moves(way: tuple[int, ...]) -> list[tuple[int, int, int]]:
+    """(width, shift in the fingerprint, shift in the turned code) of every block."""
+    widths = _widths(len(way))
+    low = [64 - sum(widths[: b + 1]) for b in range(len(way))]
+    placed = np.cumsum([widths[b] for b in way]).tolist()
+    return [(widths[b], low[b], 64 - p) for b, p in zip(way, placed, strict=True)]
+
+
+def _turned(fp: Column, way: tuple[int, ...]) -> Column:
+    parts = [F.shiftleft(F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << w) - 1)), b) for w, a, b in _moves(way)]
+    return reduce(lambda x, y: x.bitwiseOR(y), parts)
+
+
+def turned_back(codes: np.ndarray, way: tuple[int, ...]) -> np.ndarray:
+    out = np.zeros(len(codes), np.uint64)
+    for w, a, b in _moves(way):
+        out |= ((codes >> np.uint64(b)) & np.uint64((1 << w) - 1)) << np.uint64(a)
+    return out
 
 
 def gray_rank(code: Column) -> Column:
@@ -96,10 +141,10 @@ def gray_rank(code: Column) -> Column:
 
 
 def _leaves(batches):
-    """Cut rows (quarter, run, code), sorted, into leaves with the bits their members share."""
+    """Cut rows (way, run, code), sorted, into leaves with the bits their members share."""
     from pyspark import TaskContext
 
-    schema = pa.schema([("leaf", pa.int64()), ("quarter", pa.int32()), ("run", pa.int64()), ("mask", pa.int64()), ("pattern", pa.int64()), ("codes", pa.binary())])
+    schema = pa.schema([("leaf", pa.int64()), ("way", pa.int32()), ("run", pa.int64()), ("mask", pa.int64()), ("pattern", pa.int64()), ("codes", pa.binary())])
     made = 0
 
     def node(key, codes):
@@ -107,18 +152,18 @@ def _leaves(batches):
         every, some = np.bitwise_and.reduce(codes), np.bitwise_or.reduce(codes)
         mask = np.array([~(every ^ some)], np.uint64)
         made += 1
-        return {"leaf": (TaskContext.get().partitionId() << 32) + made, "quarter": key[0], "run": key[1], "mask": int(mask.view(np.int64)[0]), "pattern": int((mask & every).view(np.int64)[0]), "codes": codes.tobytes()}
+        return {"leaf": (TaskContext.get().partitionId() << 32) + made, "way": key[0], "run": key[1], "mask": int(mask.view(np.int64)[0]), "pattern": int((mask & every).view(np.int64)[0]), "codes": codes.tobytes()}
 
     key, rest = None, np.empty(0, np.uint64)
     for batch in batches:
-        quarter, run = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        way, run = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         codes = batch.column(2).to_numpy().view(np.uint64)
-        edges = [0, *(np.flatnonzero((np.diff(quarter) != 0) | (np.diff(run) != 0)) + 1).tolist(), len(codes)]
+        edges = [0, *(np.flatnonzero((np.diff(way) != 0) | (np.diff(run) != 0)) + 1).tolist(), len(codes)]
         out = []
         for a, b in zip(edges, edges[1:], strict=False):
             if a == b:
                 continue
-            here = (int(quarter[a]), int(run[a]))
+            here = (int(way[a]), int(run[a]))
             if here != key:
                 if len(rest):
                     out.append(node(key, rest))
@@ -190,7 +235,8 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _pairs(radius: int):
+def _pairs(radius: int, blocks: int):
+    every = ways(blocks, radius)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -209,34 +255,40 @@ def _pairs(radius: int):
                     continue
                 label = forest(len(codes), i, j)
                 hung = np.flatnonzero(label != np.arange(len(codes)))
-                bits = np.uint64(64 // QUARTERS * x["quarter"])
-                back = codes if bits == 0 else (codes >> bits) | (codes << (np.uint64(64) - bits))
+                back = turned_back(codes, every[x["way"]])
                 yield pa.RecordBatch.from_arrays([pa.array(back[hung].view(np.int64)), pa.array(back[label[hung]].view(np.int64))], schema=schema)
 
     return run
 
 
-def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges ``(a, b)`` that span the components of the distinct fingerprints ``fp``."""
-    if radius >= QUARTERS:
-        raise ValueError("with this radius two fingerprints need not share a quarter")
-    n = fps.count()
-    # A run shares at most a quarter's bits; with fewer fingerprints fewer bits make a run, which costs time only.
-    bits = min(64 // QUARTERS, max(1, math.ceil(math.log2(max(2, n / RUN)))))
-    ways = F.explode(F.array(*[F.struct(F.lit(q).alias("quarter"), _turned(F.col("fp"), q).alias("code")) for q in range(QUARTERS)]))
-    turned = fps.select(ways.alias("x")).select("x.quarter", F.shiftrightunsigned("x.code", 64 - bits).alias("run"), "x.code")
+def leaf_pairs(fps: DataFrame, radius: int = RADIUS, run: int = RUN, blocks: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """Leaves of the index, the pairs ``way, l_leaf, r_leaf`` of them that may hold links, and the blocks used."""
+    least, bits = scheme(fps.count(), radius, run)
+    blocks = blocks or least
+    bits = min(bits, front_bits(blocks, radius))
+    turns = F.explode(F.array(*[F.struct(F.lit(i).alias("way"), _turned(F.col("fp"), way).alias("code")) for i, way in enumerate(ways(blocks, radius))]))
+    turned = fps.select(turns.alias("x")).select("x.way", F.shiftrightunsigned("x.code", 64 - bits).alias("run"), "x.code")
     ranked = turned.withColumn("rank", gray_rank(F.col("code")))
-    dealt = ranked.repartitionByRange("quarter", "rank").sortWithinPartitions("quarter", "rank").select("quarter", "run", "code")
-    leaves = stored(dealt.mapInArrow(_leaves, "leaf long, quarter int, run long, mask long, pattern long, codes binary"), "simhash-leaves")
-    nodes = leaves.select("quarter", "run", "leaf", "mask", "pattern")
-    l_nodes = nodes.select("quarter", "run", F.col("leaf").alias("l_leaf"), F.col("mask").alias("lm"), F.col("pattern").alias("lp"))
-    r_nodes = nodes.select("quarter", "run", F.col("leaf").alias("r_leaf"), F.col("mask").alias("rm"), F.col("pattern").alias("rp"))
+    dealt = ranked.repartitionByRange("way", "rank").sortWithinPartitions("way", "rank").select("way", "run", "code")
+    leaves = stored(dealt.mapInArrow(_leaves, "leaf long, way int, run long, mask long, pattern long, codes binary"), "simhash-leaves")
+    nodes = leaves.select("way", "run", "leaf", "mask", "pattern")
+    l_nodes = nodes.select("way", "run", F.col("leaf").alias("l_leaf"), F.col("mask").alias("lm"), F.col("pattern").alias("lp"))
+    r_nodes = nodes.select("way", "run", F.col("leaf").alias("r_leaf"), F.col("mask").alias("rm"), F.col("pattern").alias("rp"))
     apart = F.bit_count(F.col("lp").bitwiseXOR(F.col("rp")).bitwiseAND(F.col("lm")).bitwiseAND(F.col("rm")))
-    near = l_nodes.join(r_nodes, ["quarter", "run"]).where((F.col("l_leaf") <= F.col("r_leaf")) & (apart <= radius)).select("quarter", "l_leaf", "r_leaf")
+    near = l_nodes.join(r_nodes, ["way", "run"]).where((F.col("l_leaf") <= F.col("r_leaf")) & (apart <= radius)).select("way", "l_leaf", "r_leaf")
+    return leaves, near, blocks
+
+
+def linked(fps: DataFrame, radius: int = RADIUS, run: int = RUN, blocks: int | None = None) -> DataFrame:
+    """Edges ``(a, b)`` that span the components of the distinct fingerprints ``fp``."""
+    if not 0 <= radius < 4:
+        raise ValueError("fronts of this radius are not provided for")
+    leaves, near, blocks = leaf_pairs(fps, radius, run, blocks)
     codes = lambda p: leaves.select(F.col("leaf").alias(f"{p}_leaf"), F.col("codes").alias(f"{p}_codes"))
-    tiles = near.join(codes("l"), "l_leaf").join(codes("r"), "r_leaf").select("quarter", "l_leaf", "r_leaf", "l_codes", "r_codes")
+    tiles = near.join(codes("l"), "l_leaf").join(codes("r"), "r_leaf").select("way", "l_leaf", "r_leaf", "l_codes", "r_codes")
+    # Some sixteen leaves a task, but no more tasks than a driver can schedule.
     tasks = max(1, min(8192, -(-leaves.count() // 16)))
-    return tiles.repartition(tasks, "l_leaf", "r_leaf").mapInArrow(_pairs(radius), "a long, b long")
+    return tiles.repartition(tasks, "l_leaf", "r_leaf").mapInArrow(_pairs(radius, blocks), "a long, b long")
 
 
 def simhash_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:

@@ -1,8 +1,19 @@
 """Stages of the corpus pipeline: each calls one operator on all its predecessor kept.
 
 All but the last return the columns of ``documents`` (doc_id, text, lang,
-source, n_chars); further columns of the input are left behind. A null doc_id
-is kept like any other.
+source, n_chars); further columns of the input are left behind, so their names
+cannot clash. A null doc_id, lang, source or n_chars is kept like any other value.
+What a stage does with the rest:
+
+| stage | null and empty texts | very long texts | ties | repeated rows | empty table |
+|-|-|-|-|-|-|
+| language_id | go: no language can be told | read whole | the earlier name | judged each, alike | empty |
+| line_dedup | kept, null as empty | compared whole, line by line | the smaller id, then content | alike, so all stay or go | empty |
+| near_dedup | one of all of them stays | read whole | the smaller id, then content, then any | one stays | empty |
+| mix_sources | weigh nothing, taken once | counted whole | by id, then content | rounded alike | empty |
+| bpe_encode | no ids | dealt over tasks in chunks | none can arise | encoded each | empty |
+
+Results do not depend on how rows are dealt to tasks.
 """
 
 from __future__ import annotations
@@ -63,9 +74,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; those it takes no copy of go."""
     rows = stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "stage-mix")
-    # Rounding goes by the id; the number only leads back to the row.
-    key = F.struct(F.col("doc_id"), F.col("_row")).alias("key")
-    mixed = mixing.mix(rows.select(key, "source", "text"), "key").select(F.col("doc_id._row").alias("_row"), "copies").where("copies > 0")
+    # Rounding goes by id and content; the number only leads back to the row.
+    key = F.struct("doc_id", F.xxhash64("text").alias("h"), "_row").alias("key")
+    mixed = mixing.mix(rows.select(key, "source", "text"), "key", rounding=("doc_id.doc_id", "doc_id.h")).select(F.col("doc_id._row").alias("_row"), "copies").where("copies > 0")
     taken = rows.join(mixed, "_row").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
     return taken.select(*COLUMNS)
 

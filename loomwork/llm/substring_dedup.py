@@ -249,8 +249,9 @@ def repeated_windows(contexts: DataFrame, reach: int) -> DataFrame:
         # An occurrence goes on where another run of the anchor has the same words.
         key = ["anchor", "a", "b", "h"]
         agreed = kids.groupBy(*key).agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select(*key)
+        agreed = stored(agreed, "substring-agreed")  # as above: the join can be split where one key is frequent
         state = stored(kids.join(agreed, key, "left_semi"), "substring-matches")
-        discard(held)
+        discard(held, agreed)
         held = state
     return state.where("a = b").groupBy("anchor", "own").agg(F.bit_or(F.expr("shiftleft(1L, most - a)")).alias("mask"))
 
@@ -330,13 +331,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_
     distinct = seeds.groupBy("anchor", "own").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "start", "n", "before")).alias("at"))
     distinct = stored(distinct.select("anchor", "own", "c", "at.*"), "substring-distinct")
     several = distinct.groupBy("anchor").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("anchor")
+    several = stored(several, "substring-several")
     apart = distinct.join(several, "anchor", "left_semi")
     lists = apart.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "before", "anchor", "own")).alias("runs"))
     contexts = rows.select("k1", "k2", "text").join(lists, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(_context_rows(window, seed), _CONTEXT)
     marked = repeated_windows(stored(contexts, "substring-contexts"), window - seed)
     whole = distinct.where("c > 1").select("anchor", "own", F.expr("shiftleft(1L, n) - 1").alias("mask"))
     masks = stored(whole.unionByName(marked).groupBy("anchor", "own").agg(F.bit_or("mask").alias("mask")), "substring-masks")
-    discard(distinct)
+    discard(distinct, several)
 
     # Maximal repeats: what each row's marked windows cover.
     hits = seeds.join(masks, ["anchor", "own"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))

@@ -84,3 +84,17 @@ def test_empty_table(docs_of, tokenizer):
 def test_query(spark, sf_dir, reference):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, QUERIES["op4_bpe"](spark, sf_dir).collect()), key=repr) == expected(rows, reference)
+
+
+def test_long_text_without_latin_letters_stitches():
+    rng = random.Random(4)
+    signs = [chr(c) for c in range(0x4E00, 0x4F00)] + [chr(c) for c in range(0x3041, 0x3090)]
+    tokenizer = default_tokenizer()
+    for ends in ("，", "。\n", "！ "):
+        text = "".join("".join(rng.choices(signs, k=rng.randint(5, 60))) + ends for _ in range(2500))
+        parts = bpe.cut(text, bpe.CHUNK, bpe.OVERLAP)
+        found = [bpe.seams(a, len(t), tokenizer.boundaries(t), k == len(parts) - 1, bpe.OVERLAP) for k, (a, t) in enumerate(parts)]
+        places = bpe.stitches(found)
+        assert len(parts) > 2 and places is not None
+        ids = [i for a, b in zip(places, [*places[1:], None]) for i in tokenizer.encode(text[a:b])]
+        assert ids == tokenizer.encode(text)

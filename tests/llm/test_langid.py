@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -95,3 +96,16 @@ def test_query_is_right_on_held_out_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     rows = got.join(docs, "doc_id").where("held_out").collect()
     assert len(rows) > 20 and sum(r.lang == r.lang_pred for r in rows) / len(rows) >= 0.95
+
+
+def test_languages_under_repeated_ids_are_all_learned(spark, docs_of):
+    en = ["the house of the king", "and the river was wide", "with all that they had"]
+    fr = ["la maison du roi était", "et la rivière est grande", "avec tout ce que nous avons"]
+    rows = [(1, f"{en[i % 3]} {i}", "en", "s", 0) for i in range(1500)] + [(3, f"{fr[i % 3]} {i}", "fr", "s", 0) for i in range(1500)]
+    rows += [(4, "el perro y el gato", "es", "s", 0)] * 500
+    got = Counter(r.lang for r in langid.sample(docs_of(rows), per_language=100).collect())
+    assert got["es"] == 1 and 60 <= got["en"] <= 100 and 60 <= got["fr"] <= 100
+    model = langid.train(docs_of(rows), per_language=100)
+    assert model.languages == ["en", "es", "fr"]
+    found = {r.doc_id: r.lang_pred for r in langid.predict(docs_of(rows), model, "text", "doc_id").collect()}
+    assert found == {1: "en", 3: "fr", 4: "es"}

@@ -10,7 +10,7 @@ from test_mixing import plain_targets
 from test_simhash import brute as simhash_brute
 
 import corpus_pipeline
-from loomwork.llm import stages
+from loomwork.llm import catalogue, stages
 from loomwork.llm.shared import stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -82,6 +82,30 @@ def test_mix_stage_repeats_and_drops_documents(spark, docs_of, documents):
         assert abs(taken[source] - target) <= max(0.05 * target, 2 * smallest), source
 
 
+def test_mix_stage_does_not_depend_on_how_rows_are_dealt(spark, docs_of, documents, odd_rows):
+    rows = documents[:80] + odd_rows
+    one, seven = (Counter(rows_of(stages.mix_sources(spark, docs_of(rows).repartition(n), ""))) for n in (1, 7))
+    assert one == seven
+
+
+def test_mix_stage_odd_documents(spark, docs_of, odd_rows):
+    got = rows_of(stages.mix_sources(spark, docs_of(odd_rows), ""))
+    copies = Counter(got)
+    assert set(copies) <= set(odd_rows)
+    own = Counter(odd_rows)
+    for r in set(odd_rows):
+        assert copies[r] <= 3 * own[r]
+        if not WORD.search(r[1] or ""):
+            assert copies[r] == own[r]  # weighs nothing and stays
+
+
+def test_bpe_stage_odd_documents(spark, docs_of, odd_rows):
+    tokenizer = catalogue.default_tokenizer()
+    got = stages.bpe_encode(spark, docs_of(odd_rows), "").collect()
+    want = [(i, len(tokenizer.encode(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in odd_rows]
+    assert Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in got) == Counter(want)
+
+
 def test_stages_take_empty_tables(spark, docs_of, sf_dir):
     docs = docs_of([])
     for name, stage in corpus_pipeline.STAGES:

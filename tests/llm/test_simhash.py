@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -108,11 +109,43 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert all(got[i] == 0 for i in range(301)) and all(got[1000 + i] == 1000 for i in range(300)) and got[-4] == got[-9] == -9
 
 
-def test_radius_must_leave_a_quarter_alone(spark):
+def test_radius_is_bounded(spark):
     with pytest.raises(ValueError):
         simhash.linked(spark.createDataFrame([(1,)], "fp long"), 4)
 
 
+@pytest.mark.parametrize("blocks", [4, 5, 6, 7])
+def test_every_way_of_turning_finds_every_link(spark, blocks):
+    rng = random.Random(blocks)
+    every = np.unique(clustered(rng, 500))
+    for way in simhash.ways(blocks):
+        moved = spark.createDataFrame([(int(x),) for x in every[:20].view(np.int64)], "fp long").select("fp", simhash._turned(F.col("fp"), way).alias("code")).collect() if way[0] == blocks - 1 else []
+        assert simhash.turned_back(np.array([r.code for r in moved], np.int64).view(np.uint64), way).view(np.int64).tolist() == [r.fp for r in moved]
+    edges = simhash.linked(spark.createDataFrame([(int(x),) for x in every.view(np.int64)], "fp long"), run=8, blocks=blocks).collect()
+    at = {int(x): k for k, x in enumerate(every.view(np.int64))}
+    a, b = np.array([at[e.a] for e in edges]), np.array([at[e.b] for e in edges])
+    label = simhash.forest(len(every), *np.nonzero(np.bitwise_count(every[:, None] ^ every[None, :]) <= 3))
+    assert np.array_equal(simhash.forest(len(every), a, b), label)
+
+
+def test_groups_stay_small_at_any_size():
+    assert [simhash.front_bits(b) for b in (4, 5, 6, 7)] == [16, 25, 31, 36]
+    assert [simhash.scheme(n)[0] for n in (10, 10**6, 2**24, 2**24 + 1, 10**9, 10**10, 10**12)] == [4, 4, 4, 5, 5, 6, 7]
+    assert all(n / 2 ** simhash.scheme(n)[1] <= simhash.RUN for n in (10**k for k in range(13)))
+    for blocks in (4, 5, 6, 7):  # whatever three blocks differ, the others are in front of some way
+        fronts = {frozenset(w[: blocks - 3]) for w in simhash.ways(blocks)}
+        assert all(frozenset(range(blocks)) - set(x) in fronts for x in itertools.combinations(range(blocks), 3))
+
+
+def test_leaf_pairs_grow_in_proportion(spark):
+    rng = random.Random(1)
+    made = []
+    for n in (2000, 8000, 32000):
+        fps = spark.createDataFrame([(rng.getrandbits(64) - 2**63,) for _ in range(n)], "fp long")
+        made.append(simhash.leaf_pairs(fps, run=1)[1].count() / (n * len(simhash.ways(simhash.scheme(n, run=1)[0]))))
+    assert max(made) <= 1.5 * min(made)
+
+
 def test_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, QUERIES["op6_simhash"](spark, sf_dir).collect()), key=repr) == brute(rows)

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from loomwork.llm import substring_dedup as sd
 from loomwork.llm.catalogue import ORACLES, QUERIES
@@ -44,6 +45,22 @@ def test_odd_documents(docs_of, odd_rows):
     assert sum(r[2] for r in got) > 500
 
 
+def test_rows_without_id_whose_murmur_hashes_collide(spark, docs_of):
+    """Two texts without an id that a 32-bit hash of the text can't tell apart stay two rows."""
+    words = [F.concat(F.lit(f"w{k}x"), F.col("id").cast("string")) for k in range(12)]
+    pairs = spark.range(200_000).select(F.concat_ws(" ", *words).alias("t")).groupBy(F.hash(F.lit(True), "t")).agg(F.collect_list("t").alias("ts")).where("size(ts) > 1").limit(3).collect()
+    assert pairs
+    rows = [(None, t, "en", "s", 0) for p in pairs for t in p.ts[:2]] + [(1, "x y " + pairs[0].ts[0], "en", "s", 0)]
+    got = run(docs_of(rows), 6, 2)
+    assert got == brute(rows, 6) and sum(r[2] for r in got) == 24
+
+
+def test_repeated_rows(docs_of):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text, "en", "s", 0)] * 20 + [(1, text + " more", "en", "s", 0), (2, "some " + text[:150], "en", "s", 0), (2, "some " + text[:150], "en", "s", 0)]
+    assert run(docs_of(rows), 35, 8) == brute(rows, 35)
+
+
 def test_one_word_again_and_again(docs_of):
     rows = [(1, "a " * 500, "", "", 0), (2, "b " * 36, "", "", 0), (3, "c " * 35, "", "", 0)]
     assert run(docs_of(rows), 35, 8) == brute(rows, 35) == [(1, 500, 500, ""), (2, 36, 36, ""), (3, 35, 0, " ".join("c" * 35))]
