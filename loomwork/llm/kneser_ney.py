@@ -19,7 +19,7 @@ their language are of low quality.
    documents become one request. Requests join the model table, sharded by n-gram,
    in a shuffle; what was found goes back to its block, and the block's texts are
    scored with that look-up alone. So neither the driver nor any task ever holds
-   the model, and a block has a bounded number of characters. A frequent n-gram
+   the model, and a block has a bounded number of characters. Blocks are scored in ``WAVES`` rounds, which bounds the disk. A frequent n-gram
    is one request of each block, and its partition can be split.
 4. Thresholds. One trusted document in ``FOLDS`` (by a hash of its id) is left out
    of the training; the perplexities of these give, by language, the quantile
@@ -41,6 +41,8 @@ passes. Other columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,6 +55,8 @@ from loomwork.llm.substring_dedup import _mixed
 ORDER, QUANTILE = 4, 0.995
 #: Characters of a block at which it is closed, and of a piece of it that is worked on at once.
 BLOCK, PIECE = 16 << 20, 1 << 20
+#: Rounds that blocks are scored in, so that a fourth of them is on the way at a time.
+WAVES = 4
 #: Before every text stand ORDER - 1 of these.
 _START = "\x02"
 #: One in so many trusted documents sets thresholds instead of training.
@@ -198,7 +202,7 @@ class _Block:
 
     def __init__(self, lang: str | None, order: int, piece: int):
         self.lang, self.order, self.piece, self.seed = lang, order, piece, _language(lang)
-        self.rows, self.pieces, self.sizes, self.owners, self.keys = [], [], [], [], [_mixed(np.zeros(1, np.uint64) ^ self.seed)]
+        self.rows, self.pieces, self.raw, self.sizes, self.owners, self.keys = [], [], [], [], [], [_mixed(np.zeros(1, np.uint64) ^ self.seed)]
         self.count = self.characters = 0
 
     def add(self, rows: pa.RecordBatch, texts: list[np.ndarray]) -> None:
@@ -216,7 +220,9 @@ class _Block:
 
     def _piece(self, parts: list[tuple[int, np.ndarray]]) -> None:
         codes, sizes = np.concatenate([p for _, p in parts]), np.array([len(p) for _, p in parts])
-        self.pieces.append(pa.compress(codes.tobytes(), "zstd", asbytes=True))
+        raw = codes.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        self.raw.append(len(raw))
+        self.pieces.append(pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True))
         self.sizes.append(sizes)
         self.owners.append(np.array([i for i, _ in parts]))
         self.characters += len(codes)
@@ -237,7 +243,7 @@ class _Block:
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         flat = lambda parts: one(pa.array(np.concatenate(parts).astype(np.int32)))
         ends = np.cumsum([len(x) for x in self.sizes]).astype(np.int32)
-        return {"uid": pa.array([uid]), "lang": pa.array([self.lang], pa.string()), "rows": one(rows), "sizes": flat(self.sizes), "owners": flat(self.owners), "ends": one(pa.array(ends)), "pieces": one(pa.array(self.pieces, pa.binary())), "keys": one(pa.array(keys.view(np.int64)))}
+        return {"uid": pa.array([uid]), "lang": pa.array([self.lang], pa.string()), "rows": one(rows), "sizes": flat(self.sizes), "owners": flat(self.owners), "ends": one(pa.array(ends)), "raw": one(pa.array(self.raw, pa.int32())), "pieces": one(pa.array(self.pieces, pa.binary())), "keys": one(pa.array(keys.view(np.int64)))}
 
 
 def _block_rows(order: int, names: list[str], block_size: int, piece: int):
@@ -309,7 +315,7 @@ def _score_rows(order: int, names: list[str]):
         for batch in batches:
             for k in range(batch.num_rows):
                 rows, pieces = batch.column("rows")[k].values, batch.column("pieces")[k].values
-                sizes, owners, ends = (batch.column(c)[k].values.to_numpy() for c in ("sizes", "owners", "ends"))
+                sizes, owners, ends, raw = (batch.column(c)[k].values.to_numpy() for c in ("sizes", "owners", "ends", "raw"))
                 logs, events = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
                 known = batch.column("found")[k].values
                 if known is not None and len(known):  # else the language has no model
@@ -318,7 +324,8 @@ def _score_rows(order: int, names: list[str]):
                     for i, b in enumerate(ends.tolist()):
                         a = int(ends[i - 1]) if i else 0
                         total = int(sizes[a:b].sum())
-                        codes = np.frombuffer(pa.decompress(pieces[i].as_buffer(), 4 * total, "zstd"), np.uint32)
+                        text = pa.decompress(pieces[i].as_buffer(), int(raw[i]), "zstd", asbytes=True).decode("utf-8", "surrogatepass")
+                        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
                         row = np.repeat(owners[a:b], sizes[a:b])
                         begin = np.repeat(np.cumsum(sizes[a:b]) - sizes[a:b], sizes[a:b])
                         at = np.flatnonzero(np.arange(total) - begin >= order - 1)
@@ -334,17 +341,20 @@ def scored(docs: DataFrame, model: DataFrame, order: int = ORDER, block: int = B
     names = [c for c in docs.columns if c != "text"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
     inner = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    kind = f"uid long, lang string, rows array<struct<{inner}>>, sizes array<int>, owners array<int>, ends array<int>, pieces array<binary>, keys array<long>"
+    kind = f"uid long, lang string, rows array<struct<{inner}>>, sizes array<int>, owners array<int>, ends array<int>, raw array<int>, pieces array<binary>, keys array<long>"
     with scratch(docs.sparkSession) as kept:
         table = stored(model.select("lang", "gram", "logp", "logb").mapInArrow(_keyed, "gram long, logp double, logb double"), "kn-keyed")
         blocks = stored(docs.mapInArrow(_block_rows(order, names, block, piece), kind), "kn-blocks")
-        asked = blocks.select("uid", F.explode("keys").alias("gram"))
-        found = asked.join(table.hint("merge"), "gram").groupBy("uid").agg(F.collect_list(F.struct("gram", "logp", "logb")).alias("found"))
-        found = stored(found, "kn-found")
-        texts = blocks.select("uid", "lang", "rows", "sizes", "owners", "ends", "pieces")
-        sums = texts.join(found, "uid", "left").drop("uid").mapInArrow(_score_rows(order, names), f"{fields}, logs double, events long")
-        kept.append(stored(sums, "kn-sums"))
-    return kept[0]
+        for wave in range(WAVES):
+            some = blocks.where(F.pmod(F.xxhash64("uid"), F.lit(WAVES)) == wave)
+            asked = some.select("uid", F.explode("keys").alias("gram"))
+            found = asked.join(table.hint("merge"), "gram").groupBy("uid").agg(F.collect_list(F.struct("gram", "logp", "logb")).alias("found"))
+            found = stored(found, "kn-found")
+            texts = some.select("uid", "lang", "rows", "sizes", "owners", "ends", "raw", "pieces")
+            sums = texts.join(found, "uid", "left").drop("uid").mapInArrow(_score_rows(order, names), f"{fields}, logs double, events long")
+            kept.append(stored(sums, "kn-sums"))
+            discard(found)
+    return reduce(DataFrame.unionByName, kept)
 
 
 def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: float = QUANTILE, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
