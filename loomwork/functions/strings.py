@@ -20,11 +20,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1))
 
 
-def grams(words: Column, n: int, names: str | list[str]) -> Column:
-    """All runs of ``n`` neighbours in an array, as structs; none if it is shorter."""
-    pick = lambda i: F.struct(*[F.get(words, i + (k - 1)).alias(c) for k, c in enumerate(names)])
-    empty = F.expr("array()").cast(f"array<struct<{','.join(f'{c}:string' for c in names)}>>")
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), pick)).otherwise(empty)
+def grams(words: Column, n: int, names: str | list[str], kept: str | list[str] | None = None) -> Column:
+    """All runs of ``n`` neighbours in an array, as structs of the slots ``kept`` (all, if not given); none if it is shorter.
+
+    The array is zipped with itself, shifted: no lambda, so it stays in generated code.
+    """
+    runs = F.greatest(F.lit(0), F.size(words) - (n - 1))
+    shifted = [F.slice(words, F.lit(k + 1), runs).alias(c) for k, c in enumerate(names) if kept is None or c in kept]
+    return F.arrays_zip(*shifted)
 
 
 def bigrams(words: Column) -> Column:
@@ -32,8 +35,12 @@ def bigrams(words: Column) -> Column:
 
 
 def json_value(value: Column) -> Column:
-    """A value as JSON text, written as in ``json.dumps`` for ASCII strings and numbers."""
-    return F.regexp_extract(F.to_json(F.struct(value.alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)
+    """A value as JSON text, written as ``json.dumps`` does: strings, with other than ASCII characters escaped, and whole numbers."""
+    text = F.regexp_extract(F.to_json(F.struct(value.alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)
+    # A character beyond ASCII is its UTF-16 units, four digits each.
+    escaped = lambda c: F.when(c <= F.lit("\x7f"), c).otherwise(F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1"))
+    each = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), escaped), "")
+    return F.when(text.rlike(r"^[\x00-\x7f]*$"), text).otherwise(each)
 
 
 def md5_mod(text: Column, n: int) -> Column:

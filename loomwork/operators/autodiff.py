@@ -38,6 +38,20 @@ def forward(df: DataFrame, program: Program) -> DataFrame:
     return df
 
 
+def tangents(df: DataFrame, program: Program, by: str) -> DataFrame:
+    """Add ``t_<name>``, the derivative of every variable by the input ``by``, carried forward with the values.
+
+    A second way to the derivatives of ``backward``, to check them by.
+    """
+    names = list(dict.fromkeys(x for _, _, inputs in program for x in inputs))
+    slopes: dict[str, Column] = {x: F.lit(1.0 if x == by else 0.0) for x in names}
+    for out, name, inputs in program:
+        args = [F.col(x) for x in inputs]
+        terms = [partial(*args) * slopes[x] for x, partial in zip(inputs, PRIMITIVES[name].partials, strict=True)]
+        slopes[out] = sum(terms[1:], terms[0])
+    return df.select("*", *[slope.alias(f"t_{x}") for x, slope in slopes.items()])
+
+
 def backward(df: DataFrame, program: Program, of: str = "f") -> DataFrame:
     """Add ``d_<name>``, the derivative of ``of`` by every variable, to rows that ``forward`` has completed.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,10 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """``node, neighbours``: where a node's edges lead, sorted, repeated edges kept."""
+    """``node, neighbours``: where a node's edges lead, sorted, repeated edges kept.
+
+    A list is one value, so it has to fit a task; ``weighted`` has the same edges as rows.
+    """
     return edges.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_list("dst")).alias("neighbours"))
 
 
@@ -41,11 +45,14 @@ def pagerank_steps(edges: DataFrame, iterations: int = 10, mode: str = "sources"
     Every source starts at 1. A step adds up, for each node, what its incoming
     edges carry, and resets: to all sources (``sources``), to every node that
     has a score (``growing``), or to nodes with incoming edges (``inlinks``).
-    Lineage is cut ``every`` so many steps; weights are computed once.
+    Lineage is cut ``every`` so many steps. Weights are computed once, written,
+    and held dealt and sorted by source in the executors' memory and on their
+    disks, so a step moves scores only; what an executor loses is read again.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    weights = cut(weighted(edges))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weights = cut(weighted(edges)).repartition(parts, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
     nodes = weights.select(F.col("src").alias("node")).distinct()
     scores = nodes.withColumn("score", F.lit(1.0))
     for i in range(iterations):

@@ -41,14 +41,16 @@ def log_odds(foreground: DataFrame, background: DataFrame, keys: list[str], back
     ``background_vocabulary="foreground"`` the size of the foreground's
     vocabulary serves on both sides.
     """
+    both = foreground.withColumnRenamed("n", "f").join(background.withColumnRenamed("n", "b"), keys, "full")
+    return counted_odds(both.select(*keys, F.coalesce("f", F.lit(0)).alias("f"), F.coalesce("b", F.lit(0)).alias("b")), keys, background_vocabulary)
+
+
+def counted_odds(counts: DataFrame, keys: list[str], background_vocabulary: str = "background") -> DataFrame:
+    """``log_odds`` of keys whose counts ``f`` and ``b`` in both corpora stand in one row."""
     if background_vocabulary not in ("background", "foreground"):
         raise ValueError(background_vocabulary)
-    both = foreground.withColumnRenamed("n", "f").join(background.withColumnRenamed("n", "b"), keys)
-    sized = beside(both, foreground.agg(F.count(F.lit(1)).alias("n1")))
-    if background_vocabulary == "background":
-        sized = beside(sized, background.agg(F.count(F.lit(1)).alias("n2")))
-    else:
-        sized = sized.withColumn("n2", F.col("n1"))
+    n2 = F.count_if(F.col("b") > 0) if background_vocabulary == "background" else F.count_if(F.col("f") > 0)
+    sized = beside(counts.where("f > 0 AND b > 0"), counts.agg(F.count_if(F.col("f") > 0).alias("n1"), n2.alias("n2")))
     score = F.log(smoothed(F.col("f"), F.col("n1"), F.col("n1")) / smoothed(F.col("b"), F.col("n2"), F.col("n2")))
     return sized.select(*keys, "f", "b", score.alias("score"))
 
@@ -66,13 +68,13 @@ def top_bottom(scored: DataFrame, k: int, keys: list[str], score: str = "score")
 
 
 def phraseness(phrases: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``phrases(x, y, ...)`` with ``phrase_count, x_count, y_count, phraseness``.
+    """``phrases(x, y, ...)`` with ``phrase_count`` (unless they have it), ``x_count, y_count, phraseness``.
 
     ``words`` are the counts of words, ``pairs`` those of word pairs in the same
     corpus; the score is the logarithm of the pair's smoothed frequency over the
     product of its words'.
     """
-    joined = phrases.join(pairs.select("x", "y", F.col("n").alias("phrase_count")), ["x", "y"])
+    joined = phrases if "phrase_count" in phrases.columns else phrases.join(pairs.select("x", "y", F.col("n").alias("phrase_count")), ["x", "y"])
     joined = lookup(joined, "x", words, "token", "n", "x_count")
     joined = lookup(joined, "y", words, "token", "n", "y_count")
     sized = beside(beside(joined, totals(words, "vw", "nw")), totals(pairs, "vp", "np"))

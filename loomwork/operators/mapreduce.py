@@ -12,6 +12,7 @@ frequent key is a pair of each task.
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -76,6 +77,39 @@ def groups(pairs: Iterable[Pair]) -> Iterator[tuple[Any, Iterator[Any]]]:
         yield key, map(itemgetter(1), members)
 
 
+class Peekable:
+    """An iterator that can show its next item and take items back, ``most`` of them at a time."""
+
+    def __init__(self, items: Iterable[Any], most: int = 1):
+        self._items, self._most = iter(items), most
+        self._back: deque = deque()
+
+    def __iter__(self) -> Peekable:
+        return self
+
+    def __next__(self) -> Any:
+        return self._back.popleft() if self._back else next(self._items)
+
+    def push_back(self, item: Any) -> None:
+        """The next item is this one."""
+        if len(self._back) >= self._most:
+            raise OverflowError(f"no more than {self._most} items can be pushed back")
+        self._back.appendleft(item)
+
+    def peek(self) -> Any:
+        """The next item, which stays the next; StopIteration if there is none."""
+        if not self._back:
+            self._back.append(next(self._items))
+        return self._back[0]
+
+    def has_more(self) -> bool:
+        try:
+            self.peek()
+        except StopIteration:
+            return False
+        return True
+
+
 class Job:
     """A map and a reduce function; override both, or pass them."""
 
@@ -151,8 +185,12 @@ class Job:
 
 
 def text_of(reduced: DataFrame) -> DataFrame:
-    """``value``: reduced pairs as the text of a tuple."""
-    return reduced.select(F.format_string("('%s', %s)", F.col("key").cast("string"), F.col("value").cast("string")).alias("value"))
+    """``value``: reduced pairs as Python writes a tuple, whatever the types of key and value."""
+
+    def run(batches):
+        return _batches(((str((k, v)),) for k, v in _items(batches)), ("value",))
+
+    return reduced.select("key", "value").mapInArrow(run, "value string")
 
 
 def assign_shards(rows: DataFrame, key: str, n: int) -> DataFrame:

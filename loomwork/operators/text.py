@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions.strings import bigrams, grams, tokens
@@ -24,10 +24,25 @@ def bigram_count(lines: DataFrame, line: str = "line") -> DataFrame:
     return words.select(F.inline(bigrams(F.col("t")))).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
+def ngram_rows(lines: DataFrame, n: int, names: str, kept: str | None = None, line: str = "line") -> DataFrame:
+    """A row of the slots ``kept`` (all, if not given) and ``n``, 1, for every run of ``n`` tokens inside a line; nothing is shuffled.
+
+    Weights add up, so these rows serve wherever counted n-grams do.
+    """
+    words = lines.select(tokens(F.col(line)).alias("t"))
+    return words.select(F.inline(grams(F.col("t"), n, list(names), kept))).withColumn("n", F.lit(1).cast("long"))
+
+
 def ngram_count(lines: DataFrame, n: int, names: str, line: str = "line") -> DataFrame:
     """Slots and ``n`` of runs of ``n`` tokens inside a line."""
-    words = lines.select(tokens(F.col(line)).alias("t"))
-    return words.select(F.inline(grams(F.col("t"), n, list(names)))).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    return ngram_rows(lines, n, names, line=line).groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def two_corpora(lines: DataFrame, foreground: Column, pairs: bool = False, line: str = "line") -> DataFrame:
+    """Counts ``f`` and ``b`` of words ``token``, or of pairs ``x, y``, in foreground lines and in the others, by one pass and one shuffle."""
+    words = lines.select(foreground.alias("_f"), tokens(F.col(line)).alias("t"))
+    rows = words.select("_f", F.inline(bigrams(F.col("t")))) if pairs else words.select("_f", F.explode("t").alias("token"))
+    return rows.groupBy(*(["x", "y"] if pairs else ["token"])).agg(F.count_if("_f").alias("f"), F.count_if(~F.col("_f")).alias("b"))
 
 
 def most_common(counts: DataFrame, k: int, *keys: str, n: str = "n") -> DataFrame:

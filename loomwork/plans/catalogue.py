@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.strings import json_value, tokens
-from loomwork.operators import autodiff, graph, lexicon, linalg, mapreduce, ngram, sketch
+from loomwork.operators import autodiff, dataset, graph, lexicon, linalg, mapreduce, ngram, sketch
 from loomwork.operators import text as words
+from loomwork.operators.lineage import scratch_path
+from loomwork.sources import text as sources
+from loomwork.sources.files import ShardedText, write_text
 from loomwork.sources.files import head_tail as ends_of
 from loomwork.sources.text import document_lines, line_set, table
 
@@ -38,9 +41,10 @@ def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("line"))
 
 
-def _corpora(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents")
-    return document_lines(docs.where(F.col("lang") == "en")), document_lines(docs.where(F.col("lang") != "en"))
+def _counts(spark: SparkSession, sf_dir: str, pairs: bool = False) -> DataFrame:
+    """Counts of words or of pairs, ``f`` in documents in English and ``b`` in all others, those of no known language too."""
+    lines = document_lines(table(spark, sf_dir, "documents"), "lang")
+    return words.two_corpora(lines, F.col("lang").eqNullSafe("en"), pairs)
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -81,23 +85,22 @@ def bigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def vocab_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fg, bg = (lexicon.totals(words.word_count(x)) for x in _corpora(spark, sf_dir))
-    return fg.withColumn("corpus", F.lit("fg")).unionByName(bg.withColumn("corpus", F.lit("bg")))
+    sums = _counts(spark, sf_dir).agg(*[x for c in ("f", "b") for x in (F.count_if(F.col(c) > 0).alias(f"v{c}"), F.coalesce(F.sum(c), F.lit(0)).alias(f"n{c}"))])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(name).alias("corpus"), F.col(f"v{c}").alias("vocabulary"), F.col(f"n{c}").alias("total")) for name, c in (("fg", "f"), ("bg", "b"))])))
 
 
 def _word_odds(spark: SparkSession, sf_dir: str, vocabulary: str = "background") -> DataFrame:
-    fg, bg = (words.word_count(x) for x in _corpora(spark, sf_dir))
-    return lexicon.log_odds(fg, bg, ["token"], vocabulary)
+    return lexicon.counted_odds(_counts(spark, sf_dir), ["token"], vocabulary)
 
 
-def _pair_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fg, bg = (words.bigram_count(x) for x in _corpora(spark, sf_dir))
-    return lexicon.log_odds(fg, bg, ["x", "y"])
+def _foreground(counts: DataFrame) -> DataFrame:
+    return counts.where("f > 0").withColumnRenamed("f", "n").drop("b")
 
 
 def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fg, _ = _corpora(spark, sf_dir)
-    return lexicon.phraseness(_pair_odds(spark, sf_dir), words.word_count(fg), words.bigram_count(fg))
+    pairs = _counts(spark, sf_dir, pairs=True)
+    scored = lexicon.counted_odds(pairs, ["x", "y"]).withColumn("phrase_count", F.col("f"))
+    return lexicon.phraseness(scored, _foreground(_counts(spark, sf_dir)), _foreground(pairs))
 
 
 @query
@@ -107,7 +110,7 @@ def logodds_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def logodds_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_pair_odds(spark, sf_dir), "score")
+    return _rounded(lexicon.counted_odds(_counts(spark, sf_dir, pairs=True), ["x", "y"]), "score")
 
 
 @query
@@ -139,7 +142,9 @@ def _five(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answer(spark: SparkSession, sf_dir: str, pattern: dict[str, str], top: int) -> DataFrame:
-    return _rounded(ngram.distribution(ngram.count_bindings(_five(spark, sf_dir), pattern), top), "probability")
+    # Bindings are counted straight from the runs of words: one shuffle, of bindings.
+    runs = words.ngram_rows(document_lines(table(spark, sf_dir, "documents")), 5, "abcde", "".join(sorted(pattern)))
+    return _rounded(ngram.distribution(ngram.count_bindings(runs, pattern), top), "probability")
 
 
 @query
@@ -169,7 +174,7 @@ def ngram_five_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ngram_match_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ngram.match_share(_five(spark, sf_dir), {"b": COMMON["b"], "c": "_"}), "percent")
+    return _rounded(ngram.match_share(words.ngram_rows(document_lines(table(spark, sf_dir, "documents")), 5, "abcde", "b"), {"b": COMMON["b"]}), "percent")
 
 
 # Graphs
@@ -236,7 +241,7 @@ def matmul_abt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def gram_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = linalg.from_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return _rounded(linalg.matmul_abt(a, a), "w")
+    return _rounded(linalg.matmul_abt(a, a, tiles=4), "w")  # every column is full
 
 
 @query
@@ -257,42 +262,56 @@ def vector_add(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sketches
 
 
-BLOOM = sketch.Bloom(2000, 0.01, 0)
+#: Share of false positives of the filters, and where their seeds are drawn from.
+RATE, SEED = 0.01, 0
 
 
 def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of even number with an order before 1996."""
-    early = table(spark, sf_dir, "orders").where((F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp")) & (F.col("o_custkey") % 2 == 0))
+    """Customers with an order before 1996."""
+    early = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp"))
     return line_set(early.select(F.col("o_custkey").cast("string").alias("line")).distinct())
 
 
+def _bloom(train: DataFrame) -> sketch.Bloom:
+    """A filter sized for what goes into it: one number is counted before."""
+    return sketch.Bloom(max(1, train.count()), RATE, SEED)
+
+
 def _probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_set(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("line")))
 
 
 @query
 def bloom_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(F.lit(BLOOM.bits).cast("long").alias("bits"), F.lit(BLOOM.hashes).alias("hashes"), F.lit(BLOOM.words).cast("long").alias("words"))
+    bloom = _bloom(_train(spark, sf_dir))
+    return spark.range(1).select(F.lit(bloom.bits).cast("long").alias("bits"), F.lit(bloom.hashes).alias("hashes"), F.lit(bloom.words).cast("long").alias("words"))
 
 
 @query
 def bloom_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return BLOOM.words_of(BLOOM.build(_train(spark, sf_dir)))
+    train = _train(spark, sf_dir)
+    bloom = _bloom(train)
+    return bloom.words_of(bloom.build(train))
 
 
 @query
 def bloom_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(BLOOM.density(BLOOM.build(_train(spark, sf_dir))), "density")
+    train = _train(spark, sf_dir)
+    bloom = _bloom(train)
+    return _rounded(bloom.density(bloom.build(train)), "density")
 
 
 @query
 def bloom_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return BLOOM.contains(_probe(spark, sf_dir), BLOOM.build(_train(spark, sf_dir)))
+    train = _train(spark, sf_dir)
+    bloom = _bloom(train)
+    return bloom.contains(_probe(spark, sf_dir), bloom.build(train))
 
 
 @query
 def bloom_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(BLOOM.report(_train(spark, sf_dir), _probe(spark, sf_dir)), "kb", "density")
+    train = _train(spark, sf_dir)
+    return _rounded(_bloom(train).report(train, _probe(spark, sf_dir)), "kb", "density")
 
 
 # Programs
@@ -325,6 +344,16 @@ def autodiff_grad_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.withColumns({c: F.round(c, 2) for c in ("f", "d_x1", "d_x2")})
 
 
+@query
+def autodiff_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derivatives by the backward pass, and by tangents carried forward."""
+    rows = _inputs(spark, sf_dir).select("l_orderkey", "l_linenumber", "x1", "x2")
+    program = autodiff.DOUBLE_PLUS_SQUARED
+    back = autodiff.backward(autodiff.forward(rows, program), program)
+    both = autodiff.tangents(back.select("l_orderkey", "l_linenumber", "x1", "x2", "z1", "z2", "d_x1"), program, "x1")
+    return _rounded(both.select("l_orderkey", "l_linenumber", "d_x1", F.col("t_f").alias("t_x1")), "d_x1", "t_x1")
+
+
 # Map and reduce with user functions
 
 
@@ -381,3 +410,83 @@ def head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(json_value(F.col("n_name")).alias("key"), F.size(tokens(F.col("n_name"))).alias("words"))
+
+
+# Text files: tables are written as text and read by the readers of text
+
+
+def _written(df: DataFrame, name: str, column: str = "line") -> str:
+    path = scratch_path(df.sparkSession, name)
+    write_text(df, path, column)
+    return path
+
+
+@query
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts of a text file that holds the lines of all documents."""
+    path = _written(document_lines(table(spark, sf_dir, "documents")), "lines")
+    return words.word_count(sources.lines(spark, path))
+
+
+@query
+def text_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees of a graph whose edges are lines of text."""
+    path = _written(_sinks(spark, sf_dir).select(F.concat_ws(" ", "src", "dst").alias("line")), "edges")
+    return graph.degrees(sources.edges(sources.lines(spark, path)))
+
+
+@query
+def text_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern over a file of weighted n-grams."""
+    counted = _five(spark, sf_dir)
+    path = _written(counted.select(F.concat(F.concat_ws(" ", *"abcde"), F.lit("\t"), F.col("n")).alias("line")), "ngrams")
+    pattern = {"b": COMMON["b"], "c": "_"}
+    return _rounded(ngram.distribution(ngram.count_bindings(sources.weighted_ngrams(sources.lines(spark, path)), pattern), 10), "probability")
+
+
+@query
+def json_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product of two matrices out of one JSON document: nations by region, a table of fixed size."""
+    entry = F.array(F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double"), F.lit(1.0))
+    document = table(spark, sf_dir, "nation").agg(F.collect_list(entry).alias("a"), F.collect_list(entry).alias("b"), F.collect_list(entry).alias("r"))
+    held = sources.matrices(spark, _written(document.select(F.to_json(F.struct("a", "b", "r")).alias("line")), "matrices"))
+    return linalg.matmul_abt(held["a"], held["b"])
+
+
+@query
+def text_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reduced pairs as lines of text, written and read again."""
+    job = mapreduce.Job(_pairs_of, lambda key, values: [(key, sum(values))], combine=lambda a, b: a + b)
+    reduced = job.map_reduce(table(spark, sf_dir, "part").select("p_name"), "string", "long")
+    return sources.lines(spark, _written(mapreduce.text_of(reduced), "pairs", "value"))
+
+
+@query
+def sharded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines put to shards, and merged shard by shard."""
+    store, path = ShardedText(spark, SHARDS), scratch_path(spark, "shards")
+    store.put(table(spark, sf_dir, "customer").select(F.col("c_name").alias("line")), path)
+    return store.merged(path)
+
+
+def _both_fields(line: str) -> list:
+    src, dst = line.split(" ")
+    return [(int(src), int(dst))]
+
+
+@query
+def dataset_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges, lowest and highest target of each source, by a lazy collection over a text file and a combiner of three functions."""
+    path = _written(_sinks(spark, sf_dir).select(F.concat_ws(" ", "src", "dst").alias("line")), "edges")
+    pairs = dataset.Context(spark).text_file(path).flat_map(_both_fields)
+    states = pairs.combine_by_key(lambda x: (1, x, x), lambda s, x: (s[0] + 1, min(s[1], x), max(s[2], x)), lambda s, t: (s[0] + t[0], min(s[1], t[1]), max(s[2], t[2])))
+    return states.map(lambda x: (x[0], *x[1])).to_rows("node long, edges long, low long, high long")
+
+
+@query
+def dataset_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations beside their regions, by a join of two lazy collections."""
+    held = dataset.Context(spark)
+    nations = held.from_frame(table(spark, sf_dir, "nation").select("n_regionkey", "n_name"))
+    regions = held.from_frame(table(spark, sf_dir, "region").select("r_regionkey", "r_name")).distinct()
+    return nations.join(regions).values().sort_by(lambda pair: pair[0]).to_rows("nation string, region string")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from loomwork.plans.catalogue import BLOOM, COMMON, PROBE_WORDS, SHARDS
+from loomwork.operators.sketch import Bloom
+from loomwork.plans.catalogue import COMMON, PROBE_WORDS, RATE, SEED, SHARDS
 
 _TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')".format
 _LINES = "SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line FROM documents"
@@ -17,9 +18,9 @@ WITH l AS MATERIALIZED (SELECT lang, {_TOKENS('line')} AS t FROM ({_LINES})),
 w AS (SELECT lang, unnest(t) AS token FROM l),
 p AS (SELECT lang, unnest(list_transform(range(1, len(t)), lambda i: struct_pack(x := t[i], y := t[i + 1]))) AS g FROM l WHERE len(t) >= 2),
 fw AS MATERIALIZED (SELECT token, count(*) AS n FROM w WHERE lang = 'en' GROUP BY token),
-bw AS MATERIALIZED (SELECT token, count(*) AS n FROM w WHERE lang <> 'en' GROUP BY token),
+bw AS MATERIALIZED (SELECT token, count(*) AS n FROM w WHERE lang IS DISTINCT FROM 'en' GROUP BY token),
 fp AS MATERIALIZED (SELECT g.x AS x, g.y AS y, count(*) AS n FROM p WHERE lang = 'en' GROUP BY ALL),
-bp AS MATERIALIZED (SELECT g.x AS x, g.y AS y, count(*) AS n FROM p WHERE lang <> 'en' GROUP BY ALL)
+bp AS MATERIALIZED (SELECT g.x AS x, g.y AS y, count(*) AS n FROM p WHERE lang IS DISTINCT FROM 'en' GROUP BY ALL)
 """
 
 
@@ -77,19 +78,20 @@ p0 AS MATERIALIZED (SELECT src AS node, 1::DOUBLE AS score FROM deg)"""
 _MATRIX = "SELECT l_suppkey AS r, l_partkey AS c, l_quantity AS w FROM lineitem"
 _PRODUCT = f"SELECT a.r AS row, b.r AS col, sum(a.w * b.w) AS w FROM ({_MATRIX}) a JOIN ({_MATRIX}) b ON a.c = b.c GROUP BY ALL"
 
-_TRAIN = "SELECT DISTINCT o_custkey::VARCHAR AS item FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' AND o_custkey % 2 = 0"
+_TRAIN = "SELECT DISTINCT o_custkey::VARCHAR AS item FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'"
 _H60 = "cast('0x' || substr(md5({}), 1, 15) AS BIGINT)".format
-_SEEDS = "[" + ", ".join(f"{s}::BIGINT" for s in BLOOM.seeds) + "]"
+_SEEDS = "[" + ", ".join(f"{s}::BIGINT" for s in Bloom(1, RATE, SEED).seeds) + "]"
+_HASHES = Bloom(1, RATE, SEED).hashes
 _BITS = f"""
 WITH train AS ({_TRAIN}),
-bits AS (SELECT DISTINCT xor(s, {_H60('item')}) % {BLOOM.bits} AS position FROM train, (SELECT unnest({_SEEDS}) AS s))
+size AS (SELECT *, cast(round(m / 31::DOUBLE + 1) AS BIGINT) AS words FROM (SELECT cast(floor(2 * greatest(1, count(*)) * ln(1 / {RATE}::DOUBLE) + 0.5) AS BIGINT) AS m FROM train)),
+bits AS (SELECT DISTINCT xor(s, {_H60('item')}) % m AS position FROM train, size, (SELECT unnest({_SEEDS}) AS s))
 """
 _PROBE = f"""
 , probe AS (SELECT c_custkey::VARCHAR AS item FROM customer),
-members AS (SELECT item FROM (SELECT item, xor(s, {_H60('item')}) % {BLOOM.bits} AS position FROM probe, (SELECT unnest({_SEEDS}) AS s)) q
+members AS (SELECT item FROM (SELECT item, xor(s, {_H60('item')}) % m AS position FROM probe, size, (SELECT unnest({_SEEDS}) AS s)) q
   LEFT JOIN bits USING (position) GROUP BY item HAVING count(bits.position) = count(*))
 """
-_HELD = 31 * BLOOM.words
 _SHARD = f"(cast('0x' || md5(chr(34) || c_name || chr(34)) AS UHUGEINT) % {SHARDS})::BIGINT"
 
 SQL: dict[str, str] = {
@@ -134,15 +136,14 @@ SELECT a.vec_id AS row, b.vec_id AS col, round(sum(a.w * b.w), 6) AS w FROM a JO
 SELECT (SELECT count(*) FROM (SELECT row, col, w FROM p EXCEPT ALL SELECT col, row, w FROM p)) = 0 AS same""",
     "vector_add": """WITH a AS (SELECT vec_id, unnest(range(0, len(embedding)))::INTEGER AS place, unnest(embedding)::DOUBLE AS w FROM embeddings)
 SELECT a.vec_id, a.place, round(a.w + b.w, 6) AS c FROM a JOIN a b ON b.vec_id = a.vec_id + 1 AND b.place = a.place""",
-    "bloom_params": """SELECT cast(floor(2 * 2000 * ln(100) + 0.5) AS BIGINT) AS bits, cast(floor(1.5 * ln(100) + 0.5) AS INTEGER) AS hashes,
-  cast(round(floor(2 * 2000 * ln(100) + 0.5) / 31 + 1) AS BIGINT) AS words""",
+    "bloom_params": f"{_BITS} SELECT m AS bits, {_HASHES} AS hashes, words FROM size",
     "bloom_bits": f"{_BITS} SELECT position // 31 AS word, bit_or(1::BIGINT << (position % 31)) AS value FROM bits GROUP BY 1",
-    "bloom_density": f"{_BITS} SELECT round(count(*) / {_HELD}::DOUBLE, 6) AS density FROM bits",
+    "bloom_density": f"{_BITS} SELECT round(count(*) / (SELECT 31 * words FROM size)::DOUBLE, 6) AS density FROM bits",
     "bloom_members": f"{_BITS} {_PROBE} SELECT item FROM members",
     "bloom_overlap": f"""{_BITS} {_PROBE}
-SELECT {BLOOM.bits}::BIGINT AS bits, round({BLOOM.bits} / 8::DOUBLE / 1024, 6) AS kb, {BLOOM.hashes} AS hashes,
-  (SELECT round(count(*) / {_HELD}::DOUBLE, 6) FROM bits) AS density, (SELECT count(*) FROM train) AS lines1, (SELECT count(*) FROM probe) AS lines2,
-  (SELECT count(*) FROM members) AS overlap, (SELECT round(count(*) * 0.01::DOUBLE)::BIGINT FROM probe) AS expected_false""",
+SELECT m AS bits, round(m / 8::DOUBLE / 1024, 6) AS kb, {_HASHES} AS hashes,
+  (SELECT round(count(*) / (SELECT 31 * words FROM size)::DOUBLE, 6) FROM bits) AS density, (SELECT count(*) FROM train) AS lines1, (SELECT count(*) FROM probe) AS lines2,
+  (SELECT count(*) FROM members) AS overlap, (SELECT round(count(*) * 0.01::DOUBLE)::BIGINT FROM probe) AS expected_false FROM size""",
     "autodiff_p1": """SELECT l_orderkey, l_linenumber, round((2 * l_quantity + l_discount) * (2 * l_quantity + l_discount), 6) AS f,
   round(4 * (2 * l_quantity + l_discount), 6) AS d_x1, round(2 * (2 * l_quantity + l_discount), 6) AS d_x2 FROM lineitem""",
     "autodiff_lnsq": "SELECT l_orderkey, l_linenumber, round(ln(l_extendedprice * l_extendedprice), 6) AS f, round(2 / l_extendedprice, 6) AS d_x FROM lineitem",
@@ -158,4 +159,14 @@ FROM (SELECT chr(34) || p_brand || chr(34) AS key, chr(34) || p_size || chr(34)
     "head_tail": """SELECT c_custkey, c_name, 'head' AS place FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 10)
 UNION ALL SELECT c_custkey, c_name, 'tail' FROM (SELECT * FROM customer ORDER BY c_custkey DESC LIMIT 10)""",
     "json_keys": rf"SELECT chr(34) || n_name || chr(34) AS key, len({_TOKENS('n_name')})::INTEGER AS words FROM nation",
+    "autodiff_both_ways": "SELECT l_orderkey, l_linenumber, round(4 * (2 * l_quantity + l_discount), 6) AS d_x1, round(8 * l_quantity + 4 * l_discount, 6) AS t_x1 FROM lineitem",
+    "text_lines": f"{_WORDS} SELECT token, n FROM wc",
+    "text_edges": "SELECT l_suppkey::VARCHAR AS node, count(*) AS degree FROM lineitem GROUP BY 1",
+    "text_ngrams": _answer("'B=' || b || ',C=' || c", f"b = '{COMMON['b']}'", 10),
+    "json_matrices": "SELECT a.n_nationkey AS row, b.n_nationkey AS col, count(*)::DOUBLE AS w FROM nation a JOIN nation b USING (n_regionkey) GROUP BY 1, 2",
+    "text_sink": f"""WITH t AS (SELECT unnest({_TOKENS('p_name')}) AS token FROM part)
+SELECT '(' || chr(39) || token || chr(39) || ', ' || count(*) || ')' AS line FROM t GROUP BY token""",
+    "sharded_text": f"SELECT {_SHARD}::INTEGER AS shard, c_name AS line FROM customer",
+    "dataset_combine": "SELECT l_suppkey AS node, count(*) AS edges, min(l_partkey) AS low, max(l_partkey) AS high FROM lineitem GROUP BY 1",
+    "dataset_join": "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey",
 }

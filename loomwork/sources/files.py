@@ -35,8 +35,14 @@ class ShardedText:
         return every.join(found, "shard", "left").select("shard", F.coalesce("lines", F.lit(0)).alias("lines"))
 
     def merged(self, path: str) -> DataFrame:
-        """All lines, shard by shard."""
-        return self.read(path).orderBy("shard")
+        """``shard, line`` of all lines, shard by shard, in the order in which a shard's files hold them."""
+        at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+        return self.spark.read.schema("value string, shard int").text(path).select("shard", F.col("value").alias("line"), at.alias("at")).orderBy("shard", "at").drop("at")
+
+    def get_merge(self, path: str, out: str) -> DataFrame:
+        """Write all lines, shard by shard, as text files whose names are in order; returns ``shard, lines``."""
+        write_text(self.merged(path), out, "line")
+        return self.stats(path)
 
     def head(self, path: str, k: int = 10) -> list[str]:
         """Up to ``k`` lines from the start of the first shard."""

@@ -298,3 +298,65 @@ def test_streaming_counts(spark, tmp_path):
     query = running_counts(token_stream(spark, folder, "text string"), "counts_so_far", str(tmp_path / "cp"))
     query.awaitTermination(60)
     assert rows(spark.table("counts_so_far")) == [("a", 2), ("b", 1)]
+
+
+def test_lazy_collection_by_key_and_as_a_whole(spark):
+    c = Context(spark)
+    pairs = c.from_list([("a", 1), ("b", 2), ("a", 3), ("é", 4)])
+    assert sorted(pairs.combine_by_key(lambda x: [x], lambda s, x: sorted([*s, x]), lambda s, t: sorted(s + t)).collect()) == [("a", [1, 3]), ("b", [2]), ("é", [4])]
+    other = c.from_list([("a", "x"), ("a", "y"), ("z", "w")])
+    assert sorted(pairs.join(other).collect()) == [("a", (1, "x")), ("a", (1, "y")), ("a", (3, "x")), ("a", (3, "y"))]
+    assert sorted(pairs.keys().distinct().collect()) == ["a", "b", "é"] and sorted(pairs.map_values(lambda x: -x).values().collect()) == [-4, -3, -2, -1]
+    assert pairs.sort_by(lambda p: p[1], ascending=False).collect()[0] == ("é", 4) and pairs.sort_by(lambda p: p[0]).take(1) == [("a", 1)] or pairs.sort_by(lambda p: p[0]).take(1) == [("a", 3)]
+    assert pairs.values().reduce(lambda a, b: a + b) == 10 and pairs.union(pairs).count() == 8
+    assert c.from_list([(1, "x"), (2, None)]).to_rows("n int, t string").orderBy("n").collect() == [(1, "x"), (2, None)]
+    with pytest.raises(ValueError):
+        c.from_list([]).reduce(lambda a, b: a)
+
+
+def test_peekable():
+    it = mapreduce.Peekable([1, 2, 3], most=2)
+    assert it.peek() == 1 and next(it) == 1 and it.has_more()
+    with pytest.raises(OverflowError):
+        it.push_back(9), it.push_back(8)
+    assert list(it) == [9, 2, 3] and not it.has_more()
+    with pytest.raises(StopIteration):
+        it.peek()
+
+
+def test_keys_have_one_json_text(spark):
+    keys = ["é", "a\tb", "日本 😀", 'q"\\', "plain"]
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k string").select(json_value(F.col("k"))).collect()]
+    assert got == [mapreduce.encode(k) for k in keys]
+
+
+def test_tiles_give_the_same_product(spark):
+    rows = [(i, k, float(i * k % 5)) for i in range(12) for k in range(4)] + [(0, 1, 2.0)]
+    a = spark.createDataFrame(rows, "row long, col long, w double")
+    assert sorted(linalg.matmul_abt(a, a).collect()) == sorted(linalg.matmul_abt(a, a, tiles=3).collect())
+
+
+def test_steps_of_pagerank_do_not_shuffle_edges(spark):
+    """Between the held weights and the join stands no exchange."""
+    edges = spark.createDataFrame([(i % 7, i % 5) for i in range(60)], "src long, dst long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        steps = list(graph.pagerank_steps(edges, 2, "inlinks"))
+        plan = steps[1]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    above = plan[: plan.index("InMemoryTableScan [src")].splitlines()[-2:]
+    assert "SortMergeJoin" in plan and not any("Exchange" in x for x in above), plan
+
+
+def test_bindings_are_counted_by_one_shuffle(spark, sf_dir):
+    from loomwork.plans.catalogue import QUERIES
+
+    df = QUERIES["ngram_marginal_c"](spark, sf_dir)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # the distribution and its total read one
+    assert QUERIES["phraseness"](spark, sf_dir).inputFiles()
+
+
+def test_copy_benchmark(spark):
+    assert {r.what for r in linalg.copy_benchmark(spark, 1000, 1).collect()} == {"add", "copy"}
