@@ -16,7 +16,9 @@ texts are shuffled twice at most.
 
 Defined cases: a null text counts as empty. A null doc_id never wins against a
 doc_id; in a group of nulls only, ``keep_id`` is null. Rows that share doc_id
-and text are one another's copies and exactly one of them has ``kept``. Columns
+and text are one another's copies and exactly one of them has ``kept``; of other
+ties the largest id decides. A very long text is compared whole and takes memory in
+proportion to itself in the tasks that it passes. Columns
 other than the id and the text are ignored, so their names cannot clash. An
 empty table gives an empty result.
 """

@@ -16,10 +16,13 @@ by content; lines by their place. Blank lines always stay.
    length and the substring's hash. Keys are made in one pass over the texts. The
    index has one row for each key: how many lines have it and two of them, so a
    key of one or two lines gives its pairs in the probe itself. Lines of larger
-   keys meet by key; where more than ``FREQUENT`` share one (near copies by the
-   thousand do), each line brings a signature of its characters, and only pairs
-   whose signatures are within reach of each other leave the join. No pair that
-   is within the edits is lost.
+   keys meet by key. Where more than ``FREQUENT`` share one (near copies by the
+   thousand do), they meet by a further segment: if a pair's edits are i before its
+   segment i and no more than the rest after it, as for one of its segments they
+   are, then what stands on one side can be cut in the same way again. There
+   each line brings a signature of its characters, too, and only pairs whose
+   signatures are within reach of each other leave the join. No pair that is
+   within the edits is lost.
 3. Candidate pairs are verified on the texts: common starts and ends are cut
    off, and a banded bit-parallel distance runs over what differs: one long
    holds the 2 * edits + 1 cells of a column around the diagonal.
@@ -105,6 +108,30 @@ def _keys(line: Column, n: Column, edits: int, share: int) -> Column:
     return F.when(n >= edits * share + edits, every).otherwise(F.array_compact(F.array(*some)))
 
 
+def further(edits: int, longer: int) -> list[tuple[int, int]]:
+    """(segment, shift) of every substring to probe in a string that is ``longer`` (or shorter, below 0) than the indexed one."""
+    return [(j, s) for j in range(edits + 1) for s in range(max(-j, longer - (edits - j)), min(j, longer + edits - j) + 1)]
+
+
+def _further_keys(line: Column, n: Column, edits: int, share: int) -> Column:
+    """Keys of a line as of ``_keys``, each with one more segment of what stands after its own (before it, if it is the last)."""
+    out = []
+    for most in range(1, edits + 1):
+        for less, i, shift in probes(most):
+            start, size = segment(n - less, i, most)
+            key = _key(line, i, n - less, start + shift, size)
+            if i < most:  # the rest of the line, and of the indexed one
+                left, first, indexed, longer = most - i, start + shift + size, n - less - (start + size) + 1, less - shift
+            else:
+                left, first, indexed, longer = most, F.lit(1), start - 1, shift
+            for j, s in further(left, longer):
+                at, width = segment(indexed, j, left)
+                more = F.xxhash64(key, F.lit(j), F.substring(line, F.greatest(F.lit(1), first + at - 1 + s), width))
+                held = F.struct(key.alias("key"), more.alias("more"), F.lit(less == shift == s == 0).alias("own"))
+                out.append(F.when(allowed(n - less, edits, share) == most, held))
+    return F.array_compact(F.array(*out))
+
+
 def signature(line: Column) -> Column:
     """Parities of a line's characters and of its neighbours, each hashed to 64 places.
 
@@ -275,12 +302,16 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, share: int = SHARE, id_colum
         there = firsts.where(F.col("n") >= share).join(ids, "h1", "left_semi")
         return lines_at(there.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.pos", "h1", "at")).alias("places")), *also)
 
-    signed = located(crowd.select(F.col("a").alias("h1")).distinct()).select(F.col("h1").alias("a"), signature(F.col("line")).alias("sign"))
-    crowd = stored(crowd.join(signed, "a").select("key", "a", "own", "sign"), "lines-crowd")
+    crowded = stored(index.where(F.col("lines") > FREQUENT).select("key"), "lines-crowded")
+    split = located(crowd.select(F.col("a").alias("h1")).distinct())
+    split = split.select(F.col("h1").alias("a"), "line", signature(F.col("line")).alias("sign"))
+    split = split.select("a", "sign", F.inline(_further_keys(F.col("line"), F.length("line"), edits, share)))
+    crowd = split.join(crowded, "key", "left_semi").select(F.col("more").alias("key"), "a", "own", "sign")
+    crowd = stored(crowd.distinct(), "lines-crowd")
     sifted = crowd.join(mine(crowd), apart & may_be_near(F.col("sign"), F.col("theirs"), edits)).select("a", "b")
     every = few.unionByName(usual).unionByName(sifted).where("a <> b")
     pairs = stored(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lines-pairs")
-    discard(index, met, held, crowd)
+    discard(index, met, held, crowd, crowded)
 
     # 3. Verify on the texts of the lines that are in a pair.
     side = located(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "at")

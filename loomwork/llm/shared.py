@@ -30,7 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[.*\])?", master):
+        if not re.match(r"local(\[.*\])?$", master):
             raise RuntimeError(f"spark.checkpoint.dir is unset: with master {master!r} it must name a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "loomwork-shared")
         spark.conf.set("spark.checkpoint.dir", folder)

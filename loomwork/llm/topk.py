@@ -3,7 +3,9 @@
 Vectors are packed into tiles of at most ``tile`` rows, where they are read,
 without a shuffle. Every tile of queries meets every tile of candidates once:
 the pair of tile numbers is the join key, so the work is spread over as many
-equal cells as there are pairs, whatever the keys of the rows are. A cell is a
+equal cells as there are pairs, whatever the keys of the rows are. Cells are listed
+by joining tile numbers, a row for each tile, on the vectors' length: as many rows
+as there are cells, which is the size of the task, and no vector among them. A cell is a
 matrix product in blocks; of each block only the k + 1 best of every query
 survive. The lists of a query then merge in a tree with a fan-in of ``FAN_IN``,
 so no task ever holds more than FAN_IN lists of k + 1 entries for a query.
@@ -16,7 +18,7 @@ takes no part; nor does a row with a null id, which could not be named. Vectors
 of different lengths have no score together. A query never meets its own row;
 a repeated row is another row and counts. Repeated query rows give a list each.
 Ties go to the smaller id. Other columns are ignored. An empty table gives an
-empty result.
+empty result. There are no texts; a very long vector is a row of a smaller tile.
 """
 
 from __future__ import annotations
@@ -52,28 +54,32 @@ def _pack(tile: int):
     def run(batches):
         from pyspark import TaskContext
 
-        held: dict[int, list] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         made = 0
 
         def emit(dim: int):
             nonlocal made
-            ids = np.array([x[0] for x in held[dim]], np.int64)
-            rows = np.array([x[1] for x in held[dim]], np.int64).reshape(len(ids), dim)
+            ids, rows = (np.concatenate([x[k] for x in held[dim]]) for k in (0, 1))
+            held[dim] = [(ids[tile:], rows[tile:])] if len(ids) > tile else []
+            ids, rows = ids[:tile], rows[:tile]
             order = np.argsort(ids, kind="stable")  # a smaller column is a smaller id
             most = int(np.abs(rows).max(initial=0)) if rows.size and rows.min() > -(2**63) else 2**63 if rows.size else 0
             kind = "i2" if most < 2**15 else "i4" if most < 2**31 else "i8"
             uid = (TaskContext.get().partitionId() << 32) + made
             made += 1
-            held[dim] = []
             row = {"dim": [dim], "uid": [uid], "n": [len(ids)], "ids": [ids[order].tobytes()], "vectors": [rows[order].astype(kind).tobytes()], "kind": [kind]}
             schema = pa.schema([("dim", pa.int32()), ("uid", pa.int64()), ("n", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("kind", pa.string())])
             return pa.RecordBatch.from_pydict(row, schema)
 
         for batch in batches:
-            for vec_id, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(len(v), []).append((vec_id, v))
-                if len(held[len(v)]) == tile:
-                    yield emit(len(v))
+            ids, lists = batch.column(0).to_numpy(), batch.column(1)
+            size = lists.value_lengths().to_numpy().astype(np.int64)
+            flat, first = lists.flatten().to_numpy(), np.cumsum(size) - size
+            for dim in np.unique(size).tolist():
+                at = np.flatnonzero(size == dim)
+                held.setdefault(dim, []).append((ids[at], flat[first[at][:, None] + np.arange(dim)] if dim else np.empty((len(at), 0), np.int64)))
+                while sum(len(x[0]) for x in held[dim]) >= tile:
+                    yield emit(dim)
         for dim in sorted(held):
             if held[dim]:
                 yield emit(dim)

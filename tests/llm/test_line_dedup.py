@@ -183,6 +183,43 @@ def test_frequent_keys_lose_no_pair(docs_of, monkeypatch):
     assert got == brute(rows) and sum(r[3] for r in got) > 3
 
 
+def test_frequent_keys_of_short_lines(docs_of, monkeypatch):
+    monkeypatch.setattr(ld, "FREQUENT", 2)
+    rng = random.Random(12)
+    rows = [(i, edited(rng, "abcdefgh" + rng.choice(["ijkl", "ijklmnopqrst", "zz"]) + rng.choice(["", "xyzxyz"]), rng.randrange(4)), "", "", 0) for i in range(120)]
+    got = sorted(map(tuple, ld.line_dedup(docs_of(rows)).collect()), key=repr)
+    assert got == brute(rows) and sum(r[3] for r in got) > 20
+
+
+def test_a_further_segment_is_shared_by_every_pair():
+    """For one segment of every pair, a probe of the rest meets the indexed line's rest."""
+    rng = random.Random(5)
+
+    def cuts(n, edits):
+        sizes = [n // (edits + 1) + (i >= edits + 1 - n % (edits + 1)) for i in range(edits + 1)]
+        return [(sum(sizes[:i]), sizes[i]) for i in range(edits + 1)]
+
+    for edits in (1, 2, 3):
+        for _ in range(400):
+            a = "".join(rng.choice("ab") for _ in range(rng.randint(8, 20)))
+            b = edited(rng, a, rng.randint(0, edits))
+            if distance(a, b) > edits or a == b:
+                continue
+            short, long = sorted((a, b), key=len)
+            found = False
+            for less, i, shift in ld.probes(edits):
+                if less != len(long) - len(short):
+                    continue
+                s, z = cuts(len(short), edits)[i]
+                if s + shift < 0 or long[s + shift : s + shift + z] != short[s : s + z]:
+                    continue
+                x, y, left = (short[s + z :], long[s + shift + z :], edits - i) if i < edits else (short[:s], long[: s + shift], edits)
+                parts = cuts(len(x), left)
+                assert all(len(y) - len(x) == (less - shift if i < edits else shift) for _ in "1")
+                found |= any(p + t >= 0 and y[p + t : p + t + w] == x[p : p + w] for j, t in ld.further(left, len(y) - len(x)) for p, w in [parts[j]])
+            assert found, (a, b)
+
+
 def test_signatures_of_near_lines_are_near(spark):
     rng = random.Random(8)
     pairs = []

@@ -1,6 +1,7 @@
 """The pipeline's stages against plain versions of what they decide."""
 
 import hashlib
+import pathlib
 import re
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ from test_simhash import brute as simhash_brute
 
 import corpus_pipeline
 from loomwork.llm import catalogue, stages
-from loomwork.llm.shared import stored
+from loomwork.llm.shared import clear_stored, stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -114,7 +115,11 @@ def test_stages_take_empty_tables(spark, docs_of, sf_dir):
 
 
 def test_whole_pipeline(spark, sf_dir, documents):
-    got = corpus_pipeline.run(spark, sf_dir).collect()
+    clear_stored(spark)
+    done = corpus_pipeline.run(spark, sf_dir)
+    left = list(pathlib.Path(spark.conf.get("spark.checkpoint.dir")).glob("loomwork-*/*"))
+    assert [x.name.rpartition("-")[0] for x in left] == ["pipeline-bpe_encode"]  # nothing else stays behind
+    got = done.collect()
     assert 0.5 * len(documents) < len(got) < 3 * len(documents)
     counts = Counter(r.doc_id for r in got)
     assert max(counts.values()) <= 3 and set(counts) <= {r[0] for r in documents}

@@ -53,3 +53,10 @@ def test_empty_table(spark):
 
 def test_query_matches_sql(same_as_sql):
     same_as_sql(QUERIES["op1_topk_search"], ORACLES["op1_topk_search"])
+
+
+def test_other_columns_are_ignored(spark):
+    rows = [(i, [float(i % 5), 1.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
+    more = df.select("*", *[F.lit("extra").alias(c) for c in "dim uid n ids vectors kind query_id own shard best node rank score q_uid c_uid row i x p minus".split()])
+    assert sorted(map(tuple, topk.top_k(more, more.where("vec_id % 3 = 0"), 4, 8).collect())) == brute(rows, 4, lambda i: i % 3 == 0)
