@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.llm import stages
-from loomwork.llm.shared import stored, table
+from loomwork.llm.shared import discard, scratch, stored, table
 
 #: (name, function): each function takes (spark, docs, sf_dir) and returns a DataFrame.
 STAGES = [
@@ -21,7 +21,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage is written and read again; what it no longer needs, its predecessor's rows too, is deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with scratch(spark) as kept:
+            docs = stored(stage(spark, before, sf_dir), f"pipeline-{name}")
+            kept.append(docs)
+        discard(before)
     return docs
