@@ -58,6 +58,16 @@ def shard(key: Column, n: int) -> Column:
     return md5_mod(json_value(key), n)
 
 
+def thousands(number: Column) -> Column:
+    """A whole number as text, with commas between groups of three digits."""
+    return F.format_number(number, 0)
+
+
+def percent(share: Column, digits: int = 4, width: int = 0) -> Column:
+    """A share as text in percent, with so many digits after the point, filled up with spaces on the left."""
+    return F.format_string(f"%{width or ''}.{digits}f%%", share * 100.0)
+
+
 def hash60(text: Column) -> Column:
     """The first 60 bits of a text's md5, as a non-negative long."""
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")

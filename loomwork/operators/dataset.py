@@ -201,6 +201,10 @@ class Dataset:
         run, kinds = self._pass(), to_arrow_schema(T.StructType.fromDDL(schema))
         return self._source.mapInArrow(lambda batches: _out(iter(run(batches)), kinds), schema)
 
+    def cache(self) -> Dataset:
+        """The same objects, worked out once and held on the executors; what one loses is worked out again."""
+        return Dataset(self.to_frame().persist())
+
     def collect(self) -> list[Any]:
         """All objects, on the driver: for results that are small."""
         return [pickle.loads(bytes(r[0])) for r in self.to_frame().collect()]

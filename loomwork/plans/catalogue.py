@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.strings import json_value, tokens
+from loomwork.functions.strings import json_value, percent, thousands, tokens
 from loomwork.operators import autodiff, dataset, graph, lexicon, linalg, mapreduce, ngram, sketch
 from loomwork.operators import text as words
 from loomwork.operators.lineage import scratch_path
@@ -177,6 +177,13 @@ def ngram_match_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ngram.match_share(words.ngram_rows(document_lines(table(spark, sf_dir, "documents")), 5, "abcde", "b"), {"b": COMMON["b"]}), "percent")
 
 
+@query
+def ngram_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer to a pattern as a report's texts."""
+    found = _answer(spark, sf_dir, {"b": COMMON["b"], "c": "_"}, 10)
+    return found.select("binding", thousands(F.col("n")).alias("n"), percent(F.col("probability"), 2, 7).alias("share"))
+
+
 # Graphs
 
 
@@ -490,3 +497,26 @@ def dataset_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = held.from_frame(table(spark, sf_dir, "nation").select("n_regionkey", "n_name"))
     regions = held.from_frame(table(spark, sf_dir, "region").select("r_regionkey", "r_name")).distinct()
     return nations.join(regions).values().sort_by(lambda pair: pair[0]).to_rows("nation string, region string")
+
+
+@query
+def dataset_wordcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of part names, by a lazy collection."""
+    names = dataset.Context(spark).from_frame(table(spark, sf_dir, "part").select("p_name"))
+    counted = names.flat_map(_pairs_of).reduce_by_key(lambda a, b: a + b)
+    return counted.filter(lambda pair: pair[1] > 1).to_rows("token string, n long")
+
+
+@query
+def dataset_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A local list as a lazy collection, beside the same list as rows."""
+    squares = dataset.Context(spark).from_list(range(10)).map(lambda x: (x, x * x)).to_rows("x long, y long")
+    return squares.join(sources.rows(spark, [(x, str(x)) for x in range(5, 15)], "x long, t string"), "x")
+
+
+@query
+def dataset_take(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three regions by name, taken from a sorted collection, and how many there are."""
+    regions = dataset.Context(spark).from_frame(table(spark, sf_dir, "region").select("r_name")).cache()
+    first = regions.sort_by(lambda name: name).take(3)
+    return sources.rows(spark, [(name, regions.count(), len(regions.collect())) for name in first], "name string, n long, held long")

@@ -169,4 +169,10 @@ SELECT '(' || chr(39) || token || chr(39) || ', ' || count(*) || ')' AS line FRO
     "sharded_text": f"SELECT {_SHARD}::INTEGER AS shard, c_name AS line FROM customer",
     "dataset_combine": "SELECT l_suppkey AS node, count(*) AS edges, min(l_partkey) AS low, max(l_partkey) AS high FROM lineitem GROUP BY 1",
     "dataset_join": "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "ngram_report": f"""SELECT binding, format('{{:,}}', n) AS n, lpad(format('{{:.2f}}', 100 * probability), 7, ' ') || '%' AS share
+FROM ({_answer("'B=' || b || ',C=' || c", f"b = '{COMMON['b']}'", 10)})""",
+    "dataset_wordcount": f"""WITH t AS (SELECT unnest({_TOKENS('p_name')}) AS token FROM part)
+SELECT token, count(*) AS n FROM t GROUP BY token HAVING count(*) > 1""",
+    "dataset_local": "SELECT i AS x, i * i AS y, i::VARCHAR AS t FROM range(5, 10) r(i)",
+    "dataset_take": "SELECT r_name AS name, (SELECT count(*) FROM region) AS n, (SELECT count(*) FROM region) AS held FROM region ORDER BY r_name LIMIT 3",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,17 +31,25 @@ def document_lines(docs: DataFrame, *kept: str, text: str = "text") -> DataFrame
     return docs.select(*kept, F.explode(F.split(F.col(text), "\n", -1)).alias("line"))
 
 
-def edges(lines_: DataFrame, line: str = "line") -> DataFrame:
-    """``src, dst`` from lines of two fields between white space; other lines are left out."""
+def _checked(df: DataFrame, good: Column, line: str, strict: bool) -> DataFrame:
+    """The rows that are good; with ``strict``, the others are an error."""
+    if not strict:
+        return df.where(good)
+    fault = F.raise_error(F.concat(F.lit("malformed line: "), F.col(line))).cast("boolean")
+    return df.where(F.when(F.coalesce(good, F.lit(False)), F.lit(True)).otherwise(fault))
+
+
+def edges(lines_: DataFrame, line: str = "line", strict: bool = False) -> DataFrame:
+    """``src, dst`` from lines of two fields between white space; other lines are left out, or an error if ``strict``."""
     parts = F.split(stripped(F.col(line)), r"\s+")
-    return lines_.select(parts.alias("p")).where(F.size("p") == 2).select(F.col("p")[0].alias("src"), F.col("p")[1].alias("dst"))
+    return _checked(lines_.select(line, parts.alias("p")), F.size("p") == 2, line, strict).select(F.col("p")[0].alias("src"), F.col("p")[1].alias("dst"))
 
 
-def weighted_ngrams(lines_: DataFrame, slots: Sequence[str] = "abcde", line: str = "line") -> DataFrame:
-    """Slots and ``n`` from lines ``word word ...<TAB>count``; lines of another shape are left out."""
-    fields = F.split(stripped(F.col(line), left=False), "\t")
-    split = lines_.select(fields.alias("f")).where(F.size("f") == 2).select(F.split(F.col("f")[0], " ").alias("w"), F.col("f")[1].try_cast("long").alias("n"))
-    return split.where((F.size("w") == len(slots)) & F.col("n").isNotNull()).select(*[F.col("w")[i].alias(s) for i, s in enumerate(slots)], "n")
+def weighted_ngrams(lines_: DataFrame, slots: Sequence[str] = "abcde", line: str = "line", strict: bool = False) -> DataFrame:
+    """Slots and ``n`` from lines ``word word ...<TAB>count``; lines of another shape are left out, or an error if ``strict``."""
+    fields = lines_.select(line, F.split(stripped(F.col(line), left=False), "\t").alias("f"))
+    split = fields.select(line, F.size("f").alias("k"), F.split(F.get("f", F.lit(0)), " ").alias("w"), F.get("f", F.lit(1)).try_cast("long").alias("n"))
+    return _checked(split, (F.col("k") == 2) & (F.size("w") == len(slots)) & F.col("n").isNotNull(), line, strict).select(*[F.col("w")[i].alias(s) for i, s in enumerate(slots)], "n")
 
 
 _ENTRIES = "array<array<double>>"

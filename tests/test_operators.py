@@ -360,3 +360,18 @@ def test_bindings_are_counted_by_one_shuffle(spark, sf_dir):
 
 def test_copy_benchmark(spark):
     assert {r.what for r in linalg.copy_benchmark(spark, 1000, 1).collect()} == {"add", "copy"}
+
+
+def test_malformed_lines_are_an_error_if_asked(spark):
+    lines = spark.createDataFrame([("a b c d e\t3",), ("a b\t1",), ("no count",)], "line string")
+    assert text.weighted_ngrams(lines).count() == 1
+    with pytest.raises(Exception, match="malformed line"):
+        text.weighted_ngrams(lines, strict=True).collect()
+    assert text.weighted_ngrams(lines.limit(1), strict=True).count() == 1
+    with pytest.raises(Exception, match="malformed line"):
+        text.edges(lines, strict=True).collect()
+
+
+def test_held_collection(spark):
+    held = Context(spark).from_list([3, 1, 2]).cache()
+    assert sorted(held.collect()) == [1, 2, 3] and held.count() == 3
