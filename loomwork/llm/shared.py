@@ -103,7 +103,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     if _written.get() is not None:
         _written.get().append(path)
     with _cleaned(spark):
-        df.write.mode("error").parquet(path)
+        df.write.mode("error").option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomwork_path = path
     return out
