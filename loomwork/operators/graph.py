@@ -31,12 +31,24 @@ def weighted(edges: DataFrame) -> DataFrame:
     return merged.join(degrees(edges).withColumnRenamed("node", "src"), "src").select("src", "dst", (F.col("m") / F.col("degree")).alias("w"))
 
 
-def _step(weights: DataFrame, scores: DataFrame, nodes: DataFrame, mode: str, reset: float) -> DataFrame:
-    hops = weights.join(scores, weights.src == scores.node).select(F.col("dst").alias("node"), (F.lit(1 - reset) * F.col("score") * F.col("w")).alias("score"))
+def _moves(edges: DataFrame, mode: str, reset: float) -> DataFrame:
+    """``src, dst, w, r``: what a node with a score hands on in a step is ``w`` of the score, and ``r``.
+
+    Resets are edges from a node to itself that carry nothing of the score, so
+    a step reads the scores once.
+    """
+    moves = weighted(edges).withColumn("r", F.lit(0.0))
     if mode == "inlinks":
-        return hops.groupBy("node").agg((F.sum("score") + F.lit(reset)).alias("score"))
-    resets = nodes if mode == "sources" else scores
-    return hops.unionByName(resets.select("node", F.lit(reset).alias("score"))).groupBy("node").agg(F.sum("score").alias("score"))
+        return moves
+    ends = F.array("src") if mode == "sources" else F.array("src", "dst")
+    nodes = edges.select(F.explode(ends).alias("src")).distinct()
+    return moves.unionByName(nodes.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("w"), F.lit(reset).alias("r")))
+
+
+def _step(moves: DataFrame, scores: DataFrame, mode: str, reset: float) -> DataFrame:
+    carried = F.sum(F.lit(1 - reset) * F.col("score") * F.col("w") + F.col("r"))
+    joined = moves.join(scores, moves.src == scores.node)
+    return joined.groupBy(F.col("dst").alias("node")).agg((carried + F.lit(reset) if mode == "inlinks" else carried).alias("score"))
 
 
 def pagerank_steps(edges: DataFrame, iterations: int = 10, mode: str = "sources", reset: float = RESET, every: int = 5):
@@ -52,12 +64,11 @@ def pagerank_steps(edges: DataFrame, iterations: int = 10, mode: str = "sources"
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    weights = cut(weighted(edges)).repartition(parts, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
-    nodes = weights.select(F.col("src").alias("node")).distinct()
-    scores = nodes.withColumn("score", F.lit(1.0))
+    moves = cut(_moves(edges, mode, reset)).repartition(parts, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
+    scores = moves.where("w > 0").select(F.col("src").alias("node")).distinct().withColumn("score", F.lit(1.0))
     for i in range(iterations):
         yield scores
-        scores = _step(weights, scores, nodes, mode, reset)
+        scores = _step(moves, scores, mode, reset)
         if (i + 1) % every == 0 and i + 1 < iterations:
             scores = cut(scores)
     yield scores
