@@ -118,9 +118,11 @@ def test_radius_is_bounded(spark):
 def test_every_way_of_turning_finds_every_link(spark, blocks):
     rng = random.Random(blocks)
     every = np.unique(clustered(rng, 500))
-    for way in simhash.ways(blocks):
-        moved = spark.createDataFrame([(int(x),) for x in every[:20].view(np.int64)], "fp long").select("fp", simhash._turned(F.col("fp"), way).alias("code")).collect() if way[0] == blocks - 1 else []
-        assert simhash.turned_back(np.array([r.code for r in moved], np.int64).view(np.uint64), way).view(np.int64).tolist() == [r.fp for r in moved]
+    some = spark.createDataFrame([(int(x),) for x in every[:20].view(np.int64)], "fp long")
+    turned = some.select("fp", *[simhash._turned(F.col("fp"), way).alias(f"w{i}") for i, way in enumerate(simhash.ways(blocks))]).collect()
+    for i, way in enumerate(simhash.ways(blocks)):
+        codes = np.array([r[f"w{i}"] for r in turned], np.int64).view(np.uint64)
+        assert simhash.turned_back(codes, way).view(np.int64).tolist() == [r.fp for r in turned]
     edges = simhash.linked(spark.createDataFrame([(int(x),) for x in every.view(np.int64)], "fp long"), run=8, blocks=blocks).collect()
     at = {int(x): k for k, x in enumerate(every.view(np.int64))}
     a, b = np.array([at[e.a] for e in edges]), np.array([at[e.b] for e in edges])
