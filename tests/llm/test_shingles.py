@@ -60,3 +60,20 @@ def test_stage_leaves_no_near_copies(spark, docs_of, sf_dir, sf):
     left = [shingle_set(r.text) for r in NEAR_STAGE(spark, docs, sf_dir).collect()]
     assert len(left) > 5
     assert not [1 for a in range(len(left)) for b in range(a) if similar(left[a], left[b])]
+
+
+def test_texts_that_share_a_passage_are_not_compared_in_pairs(spark, monkeypatch):
+    """A passage of three quarters of eighty texts makes no pairs of them; near copies among them are found."""
+    rng = random.Random(14)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join([*passage, *(f"o{i}-{k}" for k in range(20))]) for i in range(80)]
+    texts += [" ".join([*t.split()[:-1], "changed"]) for t in texts[:5]]
+    rng.shuffle(texts)
+    compared, verified = [], shingles._verified
+    monkeypatch.setattr(shingles, "_verified", lambda pairs, *also: compared.append(pairs.count()) or verified(pairs, *also))
+    found = shingles.near_links(spark.createDataFrame(list(enumerate(texts)), "_row long, text string")).collect()
+    label, want = list(range(len(texts))), groups(texts)
+    for e in found:
+        label[max(e.a, e.b)] = min(e.a, e.b)
+    assert label == want and len(set(want)) == 80
+    assert sum(compared) < 2 * len(texts)
