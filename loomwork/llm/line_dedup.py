@@ -129,6 +129,8 @@ def _further_keys(line: Column, n: Column, edits: int, share: int) -> Column:
                 more = F.xxhash64(key, F.lit(j), F.substring(line, F.greatest(F.lit(1), first + at - 1 + s), width))
                 held = F.struct(key.alias("key"), more.alias("more"), F.lit(less == shift == s == 0).alias("own"))
                 out.append(F.when(allowed(n - less, edits, share) == most, held))
+    if not out:  # no edits: all of a key's lines are equal
+        return F.array().cast("array<struct<key:bigint,more:bigint,own:boolean>>")
     return F.array_compact(F.array(*out))
 
 
