@@ -375,3 +375,32 @@ def test_malformed_lines_are_an_error_if_asked(spark):
 def test_held_collection(spark):
     held = Context(spark).from_list([3, 1, 2]).cache()
     assert sorted(held.collect()) == [1, 2, 3] and held.count() == 3
+
+
+def test_products_are_summed_in_tiles_and_not_dealt(spark):
+    """Products never stand as rows: one deal of sums' blocks, and the same results as the join of columns."""
+    import random
+
+    draw = random.Random(3)
+    entries = [(draw.choice([-700, -3, 0, 5, 511, 512, 900]) + draw.randrange(40), draw.randrange(9), draw.choice([None, 1.5, -2.0, 0.0])) for _ in range(900)]
+    entries += [(None, 1, 2.0), (7, None, 3.0), (600, 77, None), (601, 77, 4.0), (601, 77, 4.0)]
+    a, b = spark.createDataFrame(entries, "row int, col long, w double"), spark.createDataFrame(entries[::2], "row long, col long, w double")
+    made = linalg.matmul_abt(a, b)
+    assert rows(made) == rows(linalg._joined(a, b, 1)) and made.dtypes[0] == ("row", "int")
+    assert "HashAggregate(keys=[row" not in made._jdf.queryExecution().executedPlan().toString()
+    full = spark.createDataFrame([(i, k, float(i - k)) for i in range(600) for k in range(6)], "row long, col long, w double")
+    assert rows(linalg.matmul_abt(full, full)) == rows(linalg._joined(full, full, 1))
+    far = spark.createDataFrame([(i << 20, i % 3, float(i)) for i in range(60)], "row long, col long, w double")
+    assert not linalg._close(far) and len(rows(linalg.matmul_abt(far, far))) == 1200
+
+
+def test_a_transpose_is_compared_by_one_deal_of_the_table(spark):
+    def said(items):
+        m = spark.createDataFrame(items, "row long, col long, w double")
+        assert m.sparkSession is spark
+        assert linalg.symmetric(m).first().same == linalg.same_rows(m, m.select(F.col("col").alias("row"), F.col("row").alias("col"), "w")).first().same
+        return linalg.symmetric(m).first().same
+
+    assert said([(1, 2, 3.0), (2, 1, 3.0), (4, 4, 1.0), (None, 1, 2.0), (1, None, 2.0), (None, None, 5.0)]) and said([])
+    assert not said([(1, 2, 3.0), (2, 1, 4.0)]) and not said([(1, 2, 3.0)]) and not said([(None, 2, 3.0)])
+    assert not said([(1, 2, 3.0), (1, 2, 3.0), (2, 1, 3.0)]) and not said([(1, 2, None), (2, 1, 0.0)])
