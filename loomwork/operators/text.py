@@ -34,8 +34,14 @@ def ngram_rows(lines: DataFrame, n: int, names: str, kept: str | None = None, li
 
 
 def ngram_count(lines: DataFrame, n: int, names: str, line: str = "line") -> DataFrame:
-    """Slots and ``n`` of runs of ``n`` tokens inside a line."""
-    return ngram_rows(lines, n, names, line=line).groupBy(*names).agg(F.sum("n").alias("n"))
+    """Slots and ``n`` of runs of ``n`` tokens inside a line.
+
+    A run is dealt and counted as one text, a third as long as a row of its words; tokens have no space.
+    """
+    runs = ngram_rows(lines, n, names, line=line).select(F.concat_ws(" ", *names).alias("_run"))
+    counted = runs.groupBy("_run").agg(F.count(F.lit(1)).alias("n"))
+    words = F.split("_run", " ")
+    return counted.select(*[F.get(words, F.lit(k)).alias(c) for k, c in enumerate(names)], "n")
 
 
 def two_corpora(lines: DataFrame, foreground: Column, pairs: bool = False, line: str = "line") -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from loomwork.functions.strings import shard
 
 
-def write_text(df: DataFrame, path: str, column: str = "value") -> None:
-    """One line of text for every row, in a file for each partition."""
-    df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
+def write_text(df: DataFrame, path: str, column: str = "value", compression: str = "none") -> None:
+    """One line of text for every row, in a file for each partition; readers know a compressed file by its name."""
+    df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path, compression=compression)
 
 
 class ShardedText:
