@@ -404,3 +404,46 @@ def test_a_transpose_is_compared_by_one_deal_of_the_table(spark):
     assert said([(1, 2, 3.0), (2, 1, 3.0), (4, 4, 1.0), (None, 1, 2.0), (1, None, 2.0), (None, None, 5.0)]) and said([])
     assert not said([(1, 2, 3.0), (2, 1, 4.0)]) and not said([(1, 2, 3.0)]) and not said([(None, 2, 3.0)])
     assert not said([(1, 2, 3.0), (1, 2, 3.0), (2, 1, 3.0)]) and not said([(1, 2, None), (2, 1, 0.0)])
+
+
+def test_phrase_counts_are_worked_out_once(spark, sf_dir):
+    """Both corpora are counted before the result is read: its plan has no document and no list of tokens."""
+    from loomwork.plans.catalogue import QUERIES
+
+    df = QUERIES["good_phrases"](spark, sf_dir)
+    assert not any("documents" in f for f in df.inputFiles())
+    counts = spark.createDataFrame([("a", 2, 1), ("b", 0, 3), ("c", 4, 0)], "token string, f long, b long")
+    kept, sizes = lexicon.held(counts, "t")
+    assert rows(kept) == [("a", 2, 1)] and sizes.first().asDict() == {"n1": 2, "n2": 2, "total": 6}
+    assert rows(lexicon.counted_odds(kept, ["token"], sizes=sizes)) == rows(lexicon.counted_odds(counts, ["token"]))
+
+
+def test_runs_of_words_are_dealt_as_one_text(spark):
+    df = ngram_count(spark.createDataFrame([("a b a b",), ("B a",)], "line string"), 2, "xy")
+    assert rows(df) == [("a", "b", 2), ("b", "a", 2)] and df.columns == ["x", "y", "n"]
+    assert "hashpartitioning(_run" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counted_runs_are_written_compressed(spark, sf_dir):
+    from loomwork.plans.catalogue import QUERIES
+
+    files_read = QUERIES["text_ngrams"](spark, sf_dir).inputFiles()
+    assert files_read and all(f.endswith(".gz") for f in files_read)
+
+
+def test_equal_texts_are_encoded_once_by_a_combiner(spark, monkeypatch):
+    import pyarrow as pa
+
+    asked = []
+    plain = mapreduce.encode
+    monkeypatch.setattr(mapreduce, "encode", lambda x: asked.append(x) or plain(x))
+    job = mapreduce.Job(lambda w: [(w, 1), (1, 1), (True, 1), ("1", 1)], combine=lambda a, b: a + b)
+
+    class Items:
+        def mapInArrow(self, run, _):
+            return [tuple(x) for b in run([pa.RecordBatch.from_pydict({"w": ["é\\"] * 50})]) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+
+    assert sorted(job._mapped(Items())) == sorted([('"\\u00e9\\\\"', "50"), ("1", "50"), ("true", "50"), ('"1"', "50")])
+    assert asked.count("é\\") == 1
+    for x in ("", "7", "é\\", 'q"', "²", 5, -3, 10**30, 1.5, True, None, [1, "a"], {"k": [2]}):
+        assert plain(x) == json.dumps(x) and mapreduce.decode(plain(x)) == x and type(mapreduce.decode(plain(x))) is type(x)
