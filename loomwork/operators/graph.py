@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.operators.lineage import cut
@@ -31,18 +31,26 @@ def weighted(edges: DataFrame) -> DataFrame:
     return merged.join(degrees(edges).withColumnRenamed("node", "src"), "src").select("src", "dst", (F.col("m") / F.col("degree")).alias("w"))
 
 
-def _moves(edges: DataFrame, mode: str, reset: float) -> DataFrame:
-    """``src, dst, w, r``: what a node with a score hands on in a step is ``w`` of the score, and ``r``.
+def _moves(edges: DataFrame, mode: str, reset: float, parts: int) -> DataFrame:
+    """``src, dst, w, r``, dealt and sorted by source: what a node with a score hands on in a step is ``w`` of the score, and ``r``.
 
     Resets are edges from a node to itself that carry nothing of the score, so
-    a step reads the scores once.
+    a step reads the scores once. Edges are dealt once: repeated ones are
+    merged, degrees summed and resets added where a source's edges lie.
     """
-    moves = weighted(edges).withColumn("r", F.lit(0.0))
+    rows = edges.where(F.col("src").isNotNull()).select("src", "dst", F.lit(1).alias("edge"))
+    if mode == "growing":  # nodes without edges that leave them are reset, too
+        rows = rows.unionByName(edges.where(F.col("dst").isNotNull()).select(F.col("dst").alias("src"), "dst", F.lit(0).alias("edge")).distinct())
+    dealt = rows.repartition(parts, "src").groupBy("src", "dst", "edge").agg(F.count(F.lit(1)).alias("m"))
+    degree = F.sum(F.when(F.col("edge") > 0, F.col("m"))).over(Window.partitionBy("src"))
+    move = F.struct("dst", (F.col("m") / degree).alias("w"), F.lit(0.0).alias("r"))
     if mode == "inlinks":
-        return moves
-    ends = F.array("src") if mode == "sources" else F.array("src", "dst")
-    nodes = edges.select(F.explode(ends).alias("src")).distinct()
-    return moves.unionByName(nodes.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("w"), F.lit(reset).alias("r")))
+        return dealt.select("src", "dst", move["w"].alias("w"), move["r"].alias("r"))
+    back = F.struct(F.col("src").alias("dst"), F.lit(0.0).alias("w"), F.lit(reset).alias("r"))
+    first = F.row_number().over(Window.partitionBy("src").orderBy("src")) == 1
+    held = dealt.select("src", move.alias("move"), first.alias("first"), (F.col("edge") > 0).alias("edge"))
+    both = F.concat(F.when(F.col("edge"), F.array("move")).otherwise(F.array()), F.when(F.col("first"), F.array(back)).otherwise(F.array()))
+    return held.select("src", F.inline(both))
 
 
 def _step(moves: DataFrame, scores: DataFrame, mode: str, reset: float) -> DataFrame:
@@ -57,14 +65,14 @@ def pagerank_steps(edges: DataFrame, iterations: int = 10, mode: str = "sources"
     Every source starts at 1. A step adds up, for each node, what its incoming
     edges carry, and resets: to all sources (``sources``), to every node that
     has a score (``growing``), or to nodes with incoming edges (``inlinks``).
-    Lineage is cut ``every`` so many steps. Weights are computed once, written,
-    and held dealt and sorted by source in the executors' memory and on their
-    disks, so a step moves scores only; what an executor loses is read again.
+    Lineage is cut ``every`` so many steps. Weights are computed once and held
+    dealt and sorted by source in the executors' memory and on their disks, so
+    a step moves scores only; what an executor loses is worked out again.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    moves = cut(_moves(edges, mode, reset)).repartition(parts, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
+    moves = _moves(edges, mode, reset, parts).sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
     scores = moves.where("w > 0").select(F.col("src").alias("node")).distinct().withColumn("score", F.lit(1.0))
     for i in range(iterations):
         yield scores

@@ -447,3 +447,13 @@ def test_equal_texts_are_encoded_once_by_a_combiner(spark, monkeypatch):
     assert asked.count("é\\") == 1
     for x in ("", "7", "é\\", 'q"', "²", 5, -3, 10**30, 1.5, True, None, [1, "a"], {"k": [2]}):
         assert plain(x) == json.dumps(x) and mapreduce.decode(plain(x)) == x and type(mapreduce.decode(plain(x))) is type(x)
+
+
+@pytest.mark.parametrize("mode", graph.MODES)
+def test_edges_of_pagerank_are_dealt_once(spark, mode):
+    edges = spark.createDataFrame([(i % 7, i % 5) for i in range(60)] + [(None, 3), (2, 2)], "src long, dst long")
+    moves = graph._moves(edges, mode, 0.15, 4)
+    plan = moves._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(src#") == 1 + (mode == "growing") and plan.count("Join") == 0, plan  # its nodes are told apart
+    found = rows(moves.groupBy("src").agg(F.round(F.sum("w"), 9), F.sum("r")))
+    assert found == [(i, 1.0, 0.0 if mode == "inlinks" else 0.15) for i in range(7)]
