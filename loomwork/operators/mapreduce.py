@@ -25,12 +25,21 @@ from loomwork.functions.strings import json_value, shard
 Pair = tuple[Any, Any]
 _PAIR = "key string, value string"
 #: Distinct keys that a combiner holds before it hands them on.
-_HELD = 50_000
+_HELD = 200_000
+_quoted = json.encoder.encode_basestring_ascii
 
 
 def encode(key: Any) -> str:
-    """A key or value as JSON; equal keys give equal texts."""
-    return json.dumps(key)
+    """A key or value as JSON; equal keys give equal texts. Texts and whole numbers, the usual ones, need no encoder."""
+    kind = type(key)
+    return _quoted(key) if kind is str else repr(key) if kind is int else json.dumps(key)
+
+
+def decode(text: str) -> Any:
+    """What ``encode`` made a text of."""
+    if text.isdigit():
+        return int(text)
+    return text[1:-1] if text[0] == '"' and "\\" not in text else json.loads(text)
 
 
 def line(key: Any, value: Any) -> str:
@@ -141,14 +150,17 @@ class Job:
         job, combine = self, self._combine
 
         def combined(pairs: Iterator[Pair]) -> Iterator[tuple[str, Any]]:
-            held: dict[str, Any] = {}
+            texts: dict[str, Any] = {}  # keys that are texts: encoded once for all their values
+            others: dict[str, Any] = {}
             for key, value in pairs:
-                k = encode(key)
+                k, held = (key, texts) if type(key) is str else (encode(key), others)
                 held[k] = combine(held[k], value) if k in held else value
-                if len(held) >= _HELD:
-                    yield from held.items()
-                    held = {}
-            yield from held.items()
+                if len(texts) + len(others) >= _HELD:
+                    yield from ((encode(k), v) for k, v in texts.items())
+                    yield from others.items()
+                    texts, others = {}, {}
+            yield from ((encode(k), v) for k, v in texts.items())
+            yield from others.items()
 
         def run(batches):
             pairs = (y for x in _items(batches) for y in job.map(x))
@@ -168,7 +180,7 @@ class Job:
         def run(batches):
             def decoded():
                 for k, v in _items(batches):
-                    yield k, json.loads(v)
+                    yield k, decode(v)
 
             def reduced():
                 for k, values in groups(decoded()):
@@ -176,9 +188,9 @@ class Job:
                         from functools import reduce
 
                         values = iter([reduce(combine, values)])
-                    yield from job.reduce(json.loads(k), values)
+                    yield from job.reduce(decode(k), values)
 
-            return _batches(((json.dumps({"x": k}), json.dumps({"x": v})) for k, v in reduced()), ("key", "value"))
+            return _batches(((f'{{"x": {encode(k)}}}', f'{{"x": {encode(v)}}}') for k, v in reduced()), ("key", "value"))
 
         out = self.sorted_runs(items).mapInArrow(run, _PAIR)
         return out.select(F.from_json("key", f"x {key}")["x"].alias("key"), F.from_json("value", f"x {value}")["x"].alias("value"))
